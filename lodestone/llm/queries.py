@@ -31,6 +31,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), shingle=5, percent=80)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify_languages
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _remainder(3) == 1)
+    out = identify_languages(docs, ~F.col("held_out"), keep=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -43,6 +51,14 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), width=13, digest=True)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", _remainder(4) == 2)
+    out = score_toxicity(docs, _table(spark, sf_dir, "labels"), ~F.col("held_out"), keep=("doc_id", "held_out"), threshold=0.3)
+    return out.select("doc_id", "held_out", "score", "predicted", "n_hits", "n_quoted", "n_misspelt")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -64,8 +80,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op10_lm_scoring": op10_lm_scoring,
