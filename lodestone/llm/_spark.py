@@ -12,8 +12,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _made: list[tuple[SparkSession, str]] = []
+_scratch: list["Scratch"] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -56,12 +58,21 @@ def _clean() -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def clean() -> None:
+    """Deletes all scratch tables that this session's operators have written so far; results
+    that weren't stored yet can't be read afterwards."""
+    while _scratch:
+        x = _scratch.pop()
+        drop_path(x.spark, x.root)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: losing an executor then costs no
     more than the stage that runs."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+        _scratch.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -72,6 +83,11 @@ class Scratch:
         drop_path(self.spark, f"{self.root}/{name}")
 
 
+def fields(df: DataFrame, keep: tuple[str, ...], ddl: str) -> T.StructType:
+    """The schema of kept columns of a frame followed by new ones."""
+    return T.StructType([*df.select(*keep).schema.fields, *T._parse_datatype_string(ddl).fields])
+
+
 def stored_bytes(df: DataFrame, text: str = "text") -> float:
     """About how many bytes of (compressed) storage the rows take; measured where the plan
     does not know."""

@@ -333,13 +333,12 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", keep:
     scratch = _spark.Scratch(spark)
     templates = scratch.put(template_hashes(pages, html, url, share, least), "templates")
     kept = pages.select(*keep, host_of(url).alias("_host"), F.col(html).cast("string").alias("_html"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.select(*keep).schema)
 
     def extracted(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
         texts = [main_text(x, s) for x, s in zip(batch.column("_html").to_pylist(), sets)]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    out = f"{fields}text string, n_chars long"
+    out = _spark.fields(kept, keep, "text string, n_chars long")
     size = templates.count()
     if size <= broadcast_hashes:
         found: dict[str, set[int]] = {}

@@ -213,7 +213,6 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
     _spark.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, F.col(text).cast("string").alias("_t"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -227,7 +226,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: tup
                         name[i], score[i] = model.languages[int(p.argmax())], min(float(p.max()), 1.0)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [pa.array(name, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    return kept.mapInArrow(run, f"{fields}lang_pred string, score double")
+    return kept.mapInArrow(run, _spark.fields(kept, keep, "lang_pred string, score double"))
 
 
 def identify_languages(docs: DataFrame, train_on: Column, text: str = "text", language: str = "lang", doc_id: str = "doc_id", keep: tuple[str, ...] = ("doc_id",), max_train_docs: int = 6000) -> DataFrame:

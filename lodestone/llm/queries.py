@@ -78,6 +78,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", F.col("model").alias("model_language"), "ppl_low", "ppl_high")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: source and language are the directories, and a document that is
+    little else than a license is a license file."""
+    from .licenses import scan_licenses
+
+    part = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in ("source", "lang", "doc_id")]
+    files = _table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", *part))
+    return scan_licenses(files, keep=("doc_id", "path"), license_file=F.col("mostly_license"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_texts
 
@@ -93,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_extraction": op6_html_extraction,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
+    "op9_license_scan": op9_license_scan,
     "op10_lm_scoring": op10_lm_scoring,
 }
 

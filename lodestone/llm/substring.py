@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _segments, _spark, _text
 
@@ -135,7 +136,8 @@ def _decide(width: int, buckets: int, digest: bool):
                 kept += _joined(w, covered) if digest else _remaining(w, covered, chunk.slice(a, b - a))
         column = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()) if digest else pa.array(kept, pa.string())
         total = [np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (n_words, n_removed)]
-        return pa.table({"doc_id": ids, "n_words": pa.array(total[0]), "n_removed": pa.array(total[1]), "kept_sha256" if digest else "kept_text": column})
+        more = {c: table.column(c) for c in table.column_names if c == "kept_row"}
+        return pa.table({"doc_id": ids, "n_words": pa.array(total[0]), "n_removed": pa.array(total[1]), "kept_sha256" if digest else "kept_text": column, **more})
 
     return decide
 
@@ -168,11 +170,12 @@ def _remaining(w: _text.Words, covered: np.ndarray, texts: pa.Array) -> list[str
     return out
 
 
-def _prepared(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _prepared(docs: DataFrame, text: str, doc_id: str, keep: tuple[str, ...]) -> DataFrame:
+    more = [F.struct(*keep).alias("kept_row")] if keep else []
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, text: str = "text", doc_id: str = "doc_id", digest: bool = False, index: "FingerprintIndex | None" = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, text: str = "text", doc_id: str = "doc_id", digest: bool = False, index: "FingerprintIndex | None" = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for every document: each word is removed that
     is covered by a window of ``width`` words whose word sequence also starts in a document
     with a smaller doc_id, or anywhere in the index's earlier batches.
@@ -183,21 +186,22 @@ def remove_repeats(docs: DataFrame, width: int = 13, text: str = "text", doc_id:
     joined by one space. A null text has no words (kept_text null, kept_sha256 of nothing).
     Rows of one doc_id never remove words of each other; a null doc_id counts as larger than
     any other. Texts shorter than a window lose nothing. An empty table gives an empty
-    result; other columns are ignored.
+    result. Columns named in ``keep`` are returned in a struct kept_row; others are ignored.
     """
     spark = docs.sparkSession
     _spark.ship(spark)
-    plain = _prepared(docs, text, doc_id)
+    plain = _prepared(docs, text, doc_id, keep)
     n = _segments.segment_count(docs, text)
     buckets = index.buckets if index else n
     # a text shuffle, used by both steps
     seg = plain.withColumn("seg", _segments.by_range(plain, "doc_id", n)).repartition(n, "seg")
-    runs = seg.groupBy("seg").applyInArrow(_runs(width, buckets), RUN)
+    runs = seg.select("doc_id", "text", "seg").groupBy("seg").applyInArrow(_runs(width, buckets), RUN)
     if index:
         runs = index.begin(runs)
     answers = runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merge, "seg int, bucket int, bits binary")
     last = "kept_sha256 string" if digest else "kept_text string"
-    return seg.groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(_decide(width, buckets, digest), f"doc_id long, n_words long, n_removed long, {last}")
+    out = T.StructType([*T._parse_datatype_string(f"doc_id long, n_words long, n_removed long, {last}").fields, *(f for f in plain.schema if f.name == "kept_row")])
+    return seg.groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(_decide(width, buckets, digest), out)
 
 
 class FingerprintIndex:

@@ -452,7 +452,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     _spark.ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, F.col(text).cast("string").alias("_t"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.select(*keep).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value.prepare()
@@ -467,7 +466,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                     [*keep, "score", "predicted", "n_hits", "n_quoted", "n_misspelt"],
                 )
 
-    return kept.mapInArrow(run, f"{fields}score double, predicted int, n_hits long, n_quoted long, n_misspelt long")
+    return kept.mapInArrow(run, _spark.fields(kept, keep, "score double, predicted int, n_hits long, n_quoted long, n_misspelt long"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_on: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3, max_terms: int = 2000) -> DataFrame:
