@@ -1,0 +1,91 @@
+"""Scalar functions by their embedded-SQL names, with that dialect's results."""
+
+from __future__ import annotations
+
+from typing import Any
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_TYPE_NAMES = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "boolean": "integer", "float": "real", "double": "real", "string": "text", "binary": "blob", "void": "null"}
+#: Letters of strftime and of Spark's date patterns.
+_DATE_LETTERS = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%f": "ss.SSS"}
+
+
+def lit(v: Any) -> Column:
+    return v if isinstance(v, Column) else F.lit(v)
+
+
+def _all_known(columns: tuple[Column, ...], value: Column) -> Column:
+    known = F.lit(True)
+    for c in columns:
+        known = known & c.isNotNull()
+    return F.when(known, value)
+
+
+def _min(*a: Column) -> Column:
+    return F.min(a[0]) if len(a) == 1 else _all_known(a, F.least(*a))
+
+
+def _max(*a: Column) -> Column:
+    return F.max(a[0]) if len(a) == 1 else _all_known(a, F.greatest(*a))
+
+
+def _substr(s: Column, start: Column, n: Column | None = None) -> Column:
+    """Position 0 lies before the first character, so that ('hello', 0, 2) is 'h'."""
+    if n is None:
+        return F.call_function("substr", s, F.when(start == 0, 1).otherwise(start))
+    return F.call_function("substr", s, F.when(start == 0, 1).otherwise(start), F.when(start == 0, F.greatest(n - 1, F.lit(0))).otherwise(n))
+
+
+def _strftime(pattern: Column, at: Column) -> Column:
+    text = pattern._jc.toString() if not isinstance(pattern, str) else pattern
+    for a, b in _DATE_LETTERS.items():
+        text = text.replace(a, b)
+    return F.date_format(at.cast("timestamp"), text)
+
+
+def _typeof(c: Column) -> Column:
+    name = F.when(c.isNull(), "null")
+    for spark, own in _TYPE_NAMES.items():
+        name = name.when(F.typeof(c) == spark, own)
+    return name.otherwise("text")
+
+
+SPECIAL = {
+    "min": _min,
+    "max": _max,
+    "substr": _substr,
+    "substring": _substr,
+    "ifnull": F.coalesce,
+    "iif": lambda c, a, b: F.when(c, a).otherwise(b),
+    "total": lambda c: F.coalesce(F.sum(c.cast("double")), F.lit(0.0)),
+    "group_concat": lambda c, sep=None: F.listagg(c.cast("string"), sep if sep is not None else F.lit(",")),
+    "strftime": _strftime,
+    "date": lambda c: F.date_format(c.cast("timestamp"), "yyyy-MM-dd"),
+    "datetime": lambda c: F.date_format(c.cast("timestamp"), "yyyy-MM-dd HH:mm:ss"),
+    "json_extract": lambda c, path: F.call_function("get_json_object", c, path),
+    "typeof": _typeof,
+    "div": lambda a, b: F.try_divide(a, b).cast("long"),
+    "unicode": lambda c: F.ascii(c),
+    "char": lambda *c: F.concat(*(F.char(x) for x in c)),
+    "random": lambda: (F.rand() * (1 << 62)).cast("long"),
+}
+
+
+def call(name: str, *args: Any) -> Column:
+    """A function by name: an entry of SPECIAL, or else Spark's function of that name."""
+    own = SPECIAL.get(name.lower())
+    if own is _strftime:
+        return _strftime(args[0], lit(args[1]))
+    columns = [lit(a) for a in args]
+    return own(*columns) if own else F.call_function(name.lower(), *columns)
+
+
+class Functions:
+    """``f.lower(c.name)``: any attribute is a function."""
+
+    def __getattr__(self, name: str):
+        if name.startswith("__"):
+            raise AttributeError(name)
+        return lambda *args: call(name.rstrip("_"), *args)
