@@ -9,6 +9,7 @@ import logging
 import re
 import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager
 from typing import Any
@@ -107,8 +108,8 @@ class Database:
     """A folder of managed tables, together with attached external ones.
 
     ``relations`` is ``{child: {foreign_key: parent}}``, ``cascade`` ``{parent: [children]}``,
-    ``hooks`` ``{table: {"before_insert": f, ...}}``. Without a path, a temporary folder
-    serves (one machine). The session is the caller's and stays open."""
+    ``hooks`` ``{table: {"before_insert": f, ...}}``. Without a path, a new folder in
+    spark.checkpoint.dir serves. The session is the caller's and stays open."""
 
     def __init__(self, spark: SparkSession, specs: Iterable[TableSpec] = (), path: str | None = None, relations: dict[str, dict[str, str]] | None = None, cascade: dict[str, list[str]] | None = None, hooks: dict[str, dict[str, Callable]] | None = None, reactive: bool = True, debug: bool = False):
         self.spark = spark
@@ -122,7 +123,7 @@ class Database:
         self._feed = None
         self.store = None
         if self.specs:
-            self.path = path or f"file://{tempfile.mkdtemp(prefix='lodestone-db-')}"
+            self.path = path or _scratch_folder(spark)
             self.store = Store(spark, self.path)
             self._create_missing()
         for child, keys in (relations or {}).items():
@@ -741,6 +742,13 @@ class Database:
         self.closed = True
 
 
+def _scratch_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: in spark.checkpoint.dir, or where that isn't
+    set (one machine, tests) a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/lodestone-db-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='lodestone-db-')}"
+
+
 def _all_known(names: Iterable[str]) -> Column:
     out = F.lit(True)
     for n in names:
