@@ -1,17 +1,18 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, and context windows of the hits.
 
-The lexicon is learned. Spark counts, over all labelled training documents (copies once), in
-how many toxic and in how many other documents each word and each word beginning of 4 to 8
-characters occurs. In rounds, the terms that best explain the toxic documents not explained
-yet become entries: whole words, or beginnings that stand for all their inflections (stems).
-At most ``max_terms`` entries are kept, which bounds the model.
+The lexicon is learned, from a bounded sample of the labels. Spark counts, over the labelled
+training documents (copies once), in how many toxic and in how many other documents each word
+and each word beginning of 4 to 8 characters occurs. In rounds, the terms that best explain
+the toxic documents not explained yet become entries: whole words, or beginnings that stand
+for all their inflections (stems). At most ``max_terms`` entries are kept, which bounds the
+model.
 
 Every word of a text is looked up exactly. A word that is no entry, but shares a half with a
 whole-word entry, is run as a Levenshtein automaton through the trie; misspellings that the
 training documents show to be words in their own right are no hits. A hit inside quotation
 marks, or next to words of report, counts as quoted. Hits are weighed by how many others
 stand in the window around them, and a logistic regression over the few cells that these
-numbers fall into, fitted on all labelled training documents, makes the score.
+numbers fall into, fitted on the same documents, makes the score.
 """
 
 from __future__ import annotations
@@ -297,23 +298,24 @@ def spell(rows: DataFrame, keys: np.ndarray) -> dict[int, tuple[str, bool]]:
     return {r["key"]: (r["term"], r["whole"]) for r in found.groupBy("key").agg(F.min("term").alias("term"), F.max("whole").alias("whole")).collect()}
 
 
-def _one_of_copies(rows: DataFrame) -> DataFrame:
-    """The rows (text, label) less all but one of those that share label and the smallest
+def _one_of_copies(rows: DataFrame, scratch: _spark.Scratch) -> DataFrame:
+    """The rows (row, text, label) less all but one of those that share label and the smallest
     hash of their five-word shingles: copies are one witness for a term, not many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in _text.slices(batch.column(0)):
+            for a, b in _text.slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                value, offsets = _text.shingle_sets(part.column(0), 5)
+                value, offsets = _text.shingle_sets(part.column(1), 5)
                 full = np.flatnonzero(np.diff(offsets))
                 least = np.zeros(b - a, _U)
                 if len(full):
                     least[full] = value[offsets[:-1][full]]  # sorted within each text
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least.view(np.int64))], ["text", "label", "copy"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(least.view(np.int64))], ["row", "label", "copy"])
 
-    marked = rows.select("text", "label").mapInArrow(run, "text string, label int, copy long")
-    return marked.groupBy("label", "copy").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    marked = rows.select("row", "text", "label").mapInArrow(run, "row long, label int, copy long")
+    chosen = scratch.put(marked.groupBy("label", "copy").agg(F.min("row").alias("row")).select("row"), "chosen")
+    return rows.join(F.broadcast(chosen) if chosen.count() <= 1_000_000 else chosen, "row", "left_semi")
 
 
 def choose(found: list[tuple[str, bool, int, float]]) -> tuple[list[str], list[str]]:
@@ -336,7 +338,7 @@ def choose(found: list[tuple[str, bool, int, float]]) -> tuple[list[str], list[s
 
 
 def learn_lexicon(rows: DataFrame, scratch: _spark.Scratch, max_terms: int = 2000, least: int = 5, share: float = 0.005, rounds: int = 12) -> Model:
-    """A model with words, stems and weak entries from rows (text, label).
+    """A model with words, stems and weak entries from rows (row, text, label).
 
     A round takes the terms with most evidence (the likelihood ratio statistic of "toxic
     documents have it more often", over three times the logarithm of the number of terms)
@@ -345,7 +347,7 @@ def learn_lexicon(rows: DataFrame, scratch: _spark.Scratch, max_terms: int = 200
     these, and in ``share`` of all toxic documents; it is weak if clean documents have it more
     than a 200th as often. It ends when no term qualifies, or after ``rounds`` or
     ``max_terms``."""
-    rows = scratch.put(_one_of_copies(rows), "witnesses")
+    rows = scratch.put(_one_of_copies(rows, scratch), "witnesses")
     sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     model = Model([], [])
@@ -421,7 +423,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", max_ter
     """A model from rows with a text and a label 0 or 1, all of which are used."""
     _spark.ship(labelled.sparkSession)
     scratch = _spark.Scratch(labelled.sparkSession)
-    labelled = scratch.put(labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label")).where("text is not null and label in (0, 1)"), "labelled")
+    labelled = scratch.put(labelled.select(F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label"), F.monotonically_increasing_id().alias("row")).where("text is not null and label in (0, 1)"), "labelled")
     model = learn_lexicon(labelled, scratch, max_terms)
     model.known = _known(labelled, model)
 
@@ -435,7 +437,7 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", max_ter
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at, 0]), pa.array(total[at, 1])], ["cell", "good", "bad"])
 
-    rows = labelled.mapInArrow(count, "cell long, good long, bad long").groupBy("cell").agg(F.sum("good"), F.sum("bad")).toArrow()
+    rows = labelled.select("text", "label").mapInArrow(count, "cell long, good long, bad long").groupBy("cell").agg(F.sum("good"), F.sum("bad")).toArrow()
     cell, good, bad = (rows.column(i).to_numpy() for i in range(3))
     if len(cell):
         model.weights = fit(cell[:, None] // CELLS ** np.arange(FEATURES) % CELLS, bad, good, model.weights)
@@ -469,11 +471,21 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     return kept.mapInArrow(run, _spark.fields(kept, keep, "score double, predicted int, n_hits long, n_quoted long, n_misspelt long"))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train_on: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3, max_terms: int = 2000) -> DataFrame:
-    """score() of all documents, under a model of the labelled ones for which ``train_on``
-    (of the document's columns) is true. A label row without a document, or with a null id or
-    label, teaches nothing."""
-    ids = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
+def sampled_labels(labels: DataFrame, doc_id: str, label: str, most: int) -> DataFrame:
+    """(_id, _label) of about ``most`` of the labelled ids, all if there are no more, chosen by
+    a hash; an id with several labels has the largest."""
+    known = labels.select(F.col(doc_id).cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
+    known = known.groupBy("_id").agg(F.max("_label").alias("_label"))
+    share = most / max(known.count(), 1)
+    return known.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else known
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, train_on: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3, max_terms: int = 2000, max_labels: int = 50_000) -> DataFrame:
+    """score() of all documents, under a model of labelled ones for which ``train_on`` (of the
+    document's columns) is true: of about ``max_labels`` labelled ids, chosen by a hash, which
+    bounds the sample and lets its ids be broadcast. A label row without a document, or with
+    a null id or label, teaches nothing."""
+    ids = F.broadcast(sampled_labels(labels, doc_id, label, max_labels))
     rows = docs.where(train_on).select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).cast("string").alias("_text")).where("_text is not null")
     labelled = rows.join(ids, rows["_doc"] == ids["_id"]).select("_text", "_label")
     return score(docs, train(labelled, "_text", "_label", max_terms), text, keep, threshold)
