@@ -318,15 +318,15 @@ def _one_of_copies(rows: DataFrame, scratch: _spark.Scratch) -> DataFrame:
     return rows.join(F.broadcast(chosen) if chosen.count() <= 1_000_000 else chosen, "row", "left_semi")
 
 
-def choose(found: list[tuple[str, bool, int, float]]) -> tuple[list[str], list[str]]:
+def choose(found: list[tuple[str, bool, int, float]], strong: float = np.inf) -> tuple[list[str], list[str]]:
     """(words, stems) out of (term, whole word, toxic documents, weight of evidence): those
-    with at least half of the best one's evidence. Of terms that begin alike one is taken:
-    the whole word that makes up nearly all of the family, or else its longest common
-    beginning."""
+    with at least half of the best one's evidence, or a quarter where that is still
+    ``strong``. Of terms that begin alike one is taken: the whole word that makes up nearly
+    all of the family, or else its longest common beginning."""
     words, stems = [], []
     best = max((x[3] for x in found), default=0)
     for term, _, n, evidence in sorted(found, key=lambda x: (-x[3], x[0], x[1])):
-        if evidence < best / 2 or any(term.startswith(x[:4]) and (x.startswith(term) or term.startswith(x)) for x in words + stems):
+        if evidence < best / 2 and evidence < max(best / 4, strong) or any(term.startswith(x[:4]) and (x.startswith(term) or term.startswith(x)) for x in words + stems):
             continue
         family = [x for x in found if x[0].startswith(term) or term.startswith(x[0])]
         whole = [x for x in family if x[1] and x[2] >= 0.9 * n]
@@ -377,7 +377,7 @@ def learn_lexicon(rows: DataFrame, scratch: _spark.Scratch, max_terms: int = 200
             break
         spelt = spell(toxic, np.array([r["key"] for r in best], np.int64).view(_U))
         found = [(*spelt[r["key"]], r["n"], r["evidence"]) for r in best if r["key"] in spelt and len(spelt[r["key"]][0]) >= 3]
-        words, stems = ([x for x in new if x not in old] for new, old in zip(choose(found), (model.words, model.stems)))
+        words, stems = ([x for x in new if x not in old] for new, old in zip(choose(found, 4 * evidence), (model.words, model.stems)))
         if not words and not stems or len(model.words + model.stems + words + stems) > max_terms:
             break
         often = {(spelt[r["key"]]): r["n"] * good <= 200 * r["other"] * bad for r in best if r["key"] in spelt}
