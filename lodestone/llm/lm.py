@@ -11,8 +11,8 @@ A trie shard has two levels. The first holds the contexts of the shard, sorted;
 the successors of each context, sorted within it. Contexts, pointers and successors are
 monotone sequences in Elias-Fano form; a bigram is found by a successor search inside its
 context's range. Numerators of the smoothed probabilities are quantised to a code book of
-4,096 levels, exact for small counts. The levels are flat arrays that can be written to a
-file and used from a memory map.
+4,096 levels, exact for small counts. The levels are flat arrays in a file that is used from
+a memory map.
 
 p(w | v) = share * c(v w) / c(v) + (1 - share) * (c(w) + 1) / (N + V + 1); after an unknown
 context it is the lower order alone. This sums to one, and needs nothing but counts, so that
@@ -22,6 +22,8 @@ shards are cut by (v, w): a very frequent context is spread over all of them.
 from __future__ import annotations
 
 import mmap
+import os
+import tempfile
 from pathlib import Path
 
 import numpy as np
@@ -39,61 +41,66 @@ START = _text.mix(np.array([0x57A7], _U))[0]
 _CODES = 4096
 
 
+#: Position of the k-th one in a byte.
+_SELECT = np.zeros((256, 8), np.int64)
+for _byte in range(256):
+    _at = [i for i in range(8) if _byte >> i & 1]
+    _SELECT[_byte, : len(_at)] = _at
+
+
 class EliasFano:
     """A non-decreasing sequence of integers below ``universe``: low bits packed, high bits
-    in unary; access and search go through samples of the unary part."""
+    in unary; access and search go through a count of ones before each byte of these."""
 
     def __init__(self, values: np.ndarray, universe: int):
         n = len(values)
-        self.n = n
-        self.low_bits = max(0, int(np.floor(np.log2(universe / n)))) if n and universe > n else 0
         v = values.astype(_U)
-        low = v & _U((1 << self.low_bits) - 1)
-        self.low = np.packbits(((low[:, None] >> np.arange(self.low_bits, dtype=_U)) & _U(1)).astype(np.uint8).ravel(), bitorder="little") if self.low_bits else np.zeros(0, np.uint8)
-        high = (v >> _U(self.low_bits)).astype(np.int64) + np.arange(n)
-        bits = np.zeros((int(high[-1]) if n else 0) + 8, np.uint8)
+        low_bits = max(0, int(np.floor(np.log2(universe / n)))) if n and universe > n else 0
+        low = np.zeros(8, np.uint8)
+        if low_bits:
+            bits = ((v[:, None] >> np.arange(low_bits, dtype=_U)) & _U(1)).astype(np.uint8).ravel()
+            low = np.append(np.packbits(bits, bitorder="little"), low)  # 8 bytes behind, so that a window can be read
+        high = (v >> _U(low_bits)).astype(np.int64) + np.arange(n)
+        bits = np.zeros(int(high[-1]) + 1 if n else 0, np.uint8)
         bits[high] = 1
-        self.high = np.packbits(bits, bitorder="little")
+        self._set(n, low_bits, low, np.packbits(bits, bitorder="little"))
+
+    def _set(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> None:
+        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
+        self._ones = np.zeros(len(high) + 1, np.int32 if n < 1 << 31 else np.int64)
+        np.cumsum(np.bitwise_count(high), out=self._ones[1:])
 
     @classmethod
     def from_parts(cls, n: int, low_bits: int, low: np.ndarray, high: np.ndarray) -> "EliasFano":
         out = cls.__new__(cls)
-        out.n, out.low_bits, out.low, out.high = n, low_bits, low, high
+        out._set(n, low_bits, low, high)
         return out
 
-    def get(self, i: int) -> int:
-        """The i-th value, by a select on the unary part."""
-        if not hasattr(self, "_ones"):
-            self._ones = np.cumsum(np.bitwise_count(self.high), dtype=np.int64)
-        byte = int(np.searchsorted(self._ones, i + 1))
-        rest = i - (int(self._ones[byte - 1]) if byte else 0)
-        bit = int(np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))[rest])
-        low = 0
-        for b in range(self.low_bits):
-            at = i * self.low_bits + b
-            low |= (int(self.low[at >> 3]) >> (at & 7) & 1) << b
-        return (byte * 8 + bit - i) << self.low_bits | low
-
-    def successor(self, value: int, lo: int, hi: int) -> int:
-        """The first index in lo..hi whose value is at least ``value``; hi if there is none."""
-        while lo < hi:
-            mid = (lo + hi) // 2
-            if self.get(mid) < value:
-                lo = mid + 1
-            else:
-                hi = mid
-        return lo
-
-    def decode(self) -> np.ndarray:
-        """All values: one pass, used where a whole level is searched in one batch."""
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        out = high.astype(_U) << _U(self.low_bits)
-        if self.low_bits and self.n:
-            bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-            for b in range(self.low_bits):
-                out |= bits[:, b].astype(_U) << _U(b)
+    def get(self, i: np.ndarray | int) -> np.ndarray:
+        """Values at places i, by select on the unary part."""
+        i = np.asarray(i, np.int64)
+        byte = np.searchsorted(self._ones, i, "right") - 1
+        out = (byte * 8 + _SELECT[self.high[byte], i - self._ones[byte]] - i).astype(_U) << _U(self.low_bits)
+        if self.low_bits:
+            bit = i * self.low_bits
+            first, window = bit >> 3, np.zeros(i.shape, _U)
+            for j in range((self.low_bits + 14) // 8):
+                window |= self.low[first + j].astype(_U) << _U(8 * j)
+            out |= (window >> (bit & 7).astype(_U)) & _U((1 << self.low_bits) - 1)
         return out
 
+    def successor(self, value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """For each value the first place in lo..hi that holds at least it; hi if none does."""
+        lo, hi = np.array(lo, np.int64), np.array(hi, np.int64)
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):
+            mid = (lo[todo] + hi[todo]) // 2
+            less = self.get(mid) < value[todo]
+            lo[todo[less]] = mid[less] + 1
+            hi[todo[~less]] = mid[~less]
+            todo = todo[lo[todo] < hi[todo]]
+        return lo
+
 
 def quantise(counts: np.ndarray) -> np.ndarray:
     """Codes of positive counts: exact up to 2,047, logarithmic above (0.5 % steps)."""
@@ -122,27 +129,25 @@ class Trie:
         self.successors = EliasFano(lifted, max(len(begins), 1) << 32)
         self.codes = quantise(counts)
 
-    def numerator(self, key: int) -> float:
-        """Of one bigram, by successor search inside its context; 0 if it is not there."""
-        context, word = key >> 32, key & 0xFFFFFFFF
-        k = self.contexts.successor(context, 0, self.contexts.n)
-        if k == self.contexts.n or self.contexts.get(k) != context:
-            return 0.0
-        lo, hi = self.pointers.get(k), self.pointers.get(k + 1)
-        i = self.successors.successor((k << 32) + word, lo, hi)
-        return float(dequantise(self.codes[i])) if i < hi and self.successors.get(i) == (k << 32) + word else 0.0
-
     def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Codes of many bigrams in one pass over the levels; 0 for those not there."""
+        """Codes of bigrams: a successor search for the context, then one inside the range of
+        its successors; 0 for those not there."""
         out = np.zeros(len(keys), np.uint16)
-        if self.contexts.n:
-            contexts, successors = self.contexts.decode(), self.successors.decode()
-            k = np.minimum(np.searchsorted(contexts, keys >> _U(32)), len(contexts) - 1)
-            known = np.flatnonzero(contexts[k] == keys >> _U(32))
-            want = (keys[known] & _U(0xFFFFFFFF)) + (k[known].astype(_U) << _U(32))
-            i = np.minimum(np.searchsorted(successors, want), len(successors) - 1)
-            hit = successors[i] == want
-            out[known[hit]] = self.codes[i[hit]]
+        if not self.contexts.n or not len(keys):
+            return out
+        wanted, which = np.unique(keys >> _U(32), return_inverse=True)
+        n = self.contexts.n
+        k = self.contexts.successor(wanted, np.zeros(len(wanted)), np.full(len(wanted), n))
+        there = k < n
+        there[there] = self.contexts.get(k[there]) == wanted[there]
+        known = np.flatnonzero(there[which])
+        k = k[which[known]]
+        want = (k.astype(_U) << _U(32)) + (keys[known] & _U(0xFFFFFFFF))
+        lo, hi = self.pointers.get(k), self.pointers.get(k + 1)
+        i = self.successors.successor(want, lo, hi)
+        inside = np.flatnonzero(i < hi.astype(np.int64))
+        hit = inside[self.successors.get(i[inside]) == want[inside]]
+        out[known[hit]] = self.codes[i[hit]]
         return out
 
     def save(self, path: str) -> None:
@@ -153,6 +158,17 @@ class Trie:
         head = np.array([x.nbytes for x in parts], np.int64)
         Path(path).write_bytes(head.tobytes() + b"".join(x.tobytes() for x in parts))
 
+    def mapped(self) -> "Trie":
+        """The same trie over a memory map; the file's name is gone at once, its pages when
+        the map is."""
+        fd, path = tempfile.mkstemp(prefix="lodestone-trie-")
+        os.close(fd)
+        try:
+            self.save(path)
+            return Trie.open(path)
+        finally:
+            os.unlink(path)
+
     @classmethod
     def open(cls, path: str) -> "Trie":
         """The trie over a read-only memory map of the file."""
@@ -252,7 +268,7 @@ def _answer(table: pa.Table) -> pa.Table:
     keys, place = np.unique(key, return_inverse=True)
     total = np.bincount(place, count, minlength=len(keys)).astype(np.int64)
     if kind:
-        values = Trie(keys[total > 0], total[total > 0]).lookup(keys)[place]
+        values = Trie(keys[total > 0], total[total > 0]).mapped().lookup(keys)[place]
     else:
         values = total[place]
     at = np.append(0, np.cumsum(lengths))
