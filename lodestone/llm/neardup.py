@@ -4,9 +4,9 @@
    MinHash bands and an odd sketch: the (sample index, minimum) pairs folded into a parity
    bitmap. Equal sets form one class from here on, whose representative goes on alone.
 2. In each band bucket every member is paired with the bucket's smallest, and a pair stays
-   if the XOR population count of its sketches allows a high similarity. The components of
-   these candidate pairs are the clusters to verify. Members that fail against the smallest
-   get a second centre among themselves.
+   if the XOR population count of its sketches allows a high similarity. Members that fail
+   against the smallest are paired with the smallest of themselves, and so on until none is
+   left. The components of these candidate pairs are the clusters to verify.
 3. The whole texts of a cluster meet once, in blocks of bounded size, and all links of
    different components are confirmed on the full sets: similar texts collapse quickly into
    the largest component, and only members outside it are compared with everything. No link
@@ -252,9 +252,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
 
     first = scratch.put(_stars(members), "stars")
     judged = scratch.put(_close(first.select("a", "b").distinct(), sketches, bound), "judged")
-    failed = first.join(judged.where("not near").select("a", "b"), ["a", "b"], "left_semi").select("key", F.col("b").alias("row_id"))
-    second = _close(_stars(failed.distinct()).select("a", "b").distinct(), sketches, bound)
-    near = judged.union(second).where("near").select("a", "b")
+    near, stars, k = judged.where("near").select("a", "b"), first, 0
+    while True:  # a bucket of one band seldom holds sets that aren't similar, so rounds are few
+        k += 1
+        failed = stars.join(judged.where("not near").select("a", "b"), ["a", "b"], "left_semi").select("key", F.col("b").alias("row_id"))
+        stars = scratch.put(_stars(failed.distinct()), f"stars-{k}")
+        if stars.isEmpty():
+            break
+        judged = scratch.put(_close(stars.select("a", "b").distinct(), sketches, bound), f"judged-{k}")
+        near = near.union(judged.where("near").select("a", "b"))
     cluster = scratch.put(_spark.components(near, scratch, "cluster").withColumnRenamed("node", "row_id").withColumnRenamed("component", "cluster"), "clusters")
 
     sized = cluster.join(reps.groupBy("row_id").agg(F.sum("n_shingles").alias("n_shingles")), "row_id")
