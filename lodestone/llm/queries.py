@@ -107,4 +107,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPLIT = r"'[^\x20\x09-\x0D]+'"
+
+#: The SQL of the queries that SQL can express; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPLIT}) AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_SPLIT}) AS ws FROM benchmark),
+k AS (SELECT item_id, ws, least(len(ws), 5) AS k FROM b WHERE len(ws) > 0),
+i AS (SELECT DISTINCT item_id, k, array_to_string(ws[p:p + k - 1], ' ') AS gram FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM k)),
+g AS (SELECT DISTINCT doc_id, k, array_to_string(ws[p:p + k - 1], ' ') AS gram
+      FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM k) WHERE len(ws) >= k)),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+s AS (SELECT doc_id, item_id, count(*) AS m FROM g JOIN i USING (k, gram) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n AS n_item_shingles, m AS n_shared, m / n AS containment FROM s JOIN n USING (item_id) WHERE 100 * m >= 80 * n
+""",
+    "op3_minhash_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_SPLIT}) AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, hash(array_to_string(ws[p:p + 1], ' ')) AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS p FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g a JOIN g b USING (gram) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, component) AS (SELECT doc_id, doc_id FROM d UNION SELECT b, component FROM r JOIN e ON node = a),
+c AS (SELECT node AS doc_id, min(component) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op4_substring_dedup": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPLIT}) AS ws FROM documents),
+w AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM d WHERE len(ws) >= 13)),
+f AS (SELECT win, min(doc_id) AS first FROM w GROUP BY win),
+x AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM w JOIN f USING (win) WHERE first < doc_id),
+t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM t ANTI JOIN x USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(m, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS m FROM x GROUP BY doc_id) USING (doc_id)
+""",
+}
