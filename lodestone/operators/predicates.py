@@ -205,6 +205,14 @@ def literal(v: Any) -> str:
 def in_query(df: DataFrame, key: Column, values: DataFrame, negate: bool) -> DataFrame:
     """Rows whose key is (not) among the one column of ``values``, as SQL has it: IN is a
     semi join; NOT IN gives nothing if there is a null among the values, and never a row
-    whose own key is null unless there are no values."""
-    inside = key.isin(values)
-    return df.filter(~inside if negate else inside)
+    whose own key is null unless there are no values.
+
+    Spark plans NOT IN with a broadcast of all values, however many. Here it is an anti join,
+    which can shuffle, with two scalar subqueries for what nulls do."""
+    if not negate:
+        return df.filter(key.isin(values))
+    values = values.toDF("_value")
+    some = values.agg(F.count("*").alias("n")).scalar()
+    nulls = values.agg(F.count_if(F.col("_value").isNull()).alias("n")).scalar()
+    known = values.where(F.col("_value").isNotNull())
+    return df.filter((some == 0) | ((nulls == 0) & key.isNotNull())).join(known, key == F.col("_value"), "left_anti")

@@ -128,7 +128,10 @@ class Query:
     # compilation
 
     def _resolve(self, name: str) -> Column:
-        """A column by name: qualified, or of this table, or of a joined one."""
+        """A column by name: qualified, or of this table, or of a joined one. A computed
+        field is its expression, so that it can be filtered and sorted by."""
+        if computed := self.db.computed(self.table).get(name):
+            return computed(P.Columns(self._resolve))
         if "." in name:
             table, column = name.split(".", 1)
             if table in (self.table, *(j.table for j in self.joins)):
@@ -179,8 +182,7 @@ class Query:
         out = []
         taken = {c.split(".")[-1] for c in own}
         for c in own:
-            computed = self.db.computed(self.table).get(c)
-            out.append((computed(P.Columns(self._resolve)) if computed else self._resolve(c)).alias(c.split(".")[-1]))
+            out.append(self._resolve(c).alias(c.split(".")[-1]))
         for j in self.joins:
             for c in j.columns or self.db.columns_of(j.table):
                 name = f"{j.table}_{c}" if j.columns or c in taken else c

@@ -437,7 +437,7 @@ class Database:
                 if len(set(keys)) < len(keys) or self.frame(table).where(F.col(spec.key).isin(keys)).limit(1).count():
                     raise ConstraintError(f"{table}: {spec.key} must be unique")
             self._check(spec, new, self.frame(table))
-            mine.segments = [*mine.segments, self.store.write(new, table)]
+            mine.segments = [*mine.segments, self.store.write(new, table, spec.indexes)]
             if self.reactive:
                 self.store.log_rows(self._pending, [(table, "insert", r[spec.key]) for r in ready])
             entities = [Entity(self, table, {c: self._seen(spec, c, r.get(c)) for c in spec.columns} | self._lazy(table, r)) for r in ready]
@@ -492,7 +492,7 @@ class Database:
             if keys is not None and not keys.unionByName(rows.select(spec.key).join(old.select(spec.key), spec.key, "left_semi")).isEmpty():
                 raise ConstraintError(f"{table}: {spec.key} must be unique")
             self._check(spec, rows, old)
-            segment = self.store.write(rows.select(*spec.columns), table)
+            segment = self.store.write(rows.select(*spec.columns), table, spec.indexes)
             mine.segments = [*mine.segments, segment]
             written = self.store.read([segment], spec.schema)
             mine.next_id = max(mine.next_id, int(written.agg(F.max(spec.key)).first()[0]) + 1)
@@ -534,7 +534,7 @@ class Database:
             else:
                 marked = whole.withColumn("_is", F.coalesce(condition, F.lit(False)) if condition is not None else F.lit(True))
             new = change(marked) if change else marked.where("not _is")
-            segment = self.store.write(new.select(*spec.columns, "_is"), table)
+            segment = self.store.write(new.select(*spec.columns, "_is"), table, spec.indexes)
             after = self.spark.read.schema(T.StructType([*spec.schema, T.StructField("_is", T.BooleanType())])).parquet(f"{self.store.root}/{segment}")
             if change and columns:
                 rest = [s for s in mine.segments if s not in hit]
@@ -612,7 +612,7 @@ class Database:
                     hit = [mine.segments[i] for i in touched]
                     joined = self.store.read(hit, spec.schema).join(renamed, on, "left").withColumn("_is", F.coalesce(F.col("_is") & differs, F.lit(False)))
                     changed = joined.withColumns({c: F.when(F.col("_is"), F.col(f"_new_{c}")).otherwise(F.col(c)).cast(spec.schema[c].dataType) for c in sets})
-                    segment = self.store.write(changed.select(*spec.columns, "_is"), table)
+                    segment = self.store.write(changed.select(*spec.columns, "_is"), table, spec.indexes)
                     after = self.spark.read.schema(T.StructType([*spec.schema, T.StructField("_is", T.BooleanType())])).parquet(f"{self.store.root}/{segment}")
                     old = self.store.read([s for s in mine.segments if s not in hit], spec.schema).unionByName(after.where("not _is").drop("_is"))
                     self._check(spec, after.where("_is").drop("_is"), old, sets)
@@ -665,7 +665,7 @@ class Database:
         with self.transaction_scope():
             mine = self._pending.tables[table]
             if len(mine.segments) > 1:
-                mine.segments = [self.store.write(self.frame(table).hint("rebalance"), table)]
+                mine.segments = [self.store.write(self.frame(table).hint("rebalance", *(spec.indexes[0] if spec.indexes else ())), table, spec.indexes)]
 
     # import and export
 

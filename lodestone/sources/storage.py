@@ -134,9 +134,16 @@ class Store:
 
     # segments
 
-    def write(self, df: DataFrame, table: str) -> str:
+    def write(self, df: DataFrame, table: str, indexes: tuple[tuple[str, ...], ...] = ()) -> str:
+        """Writes a segment. Files are sorted by the first index, which makes its row group
+        statistics selective; columns of all indexes get bloom filters for point lookups."""
         name = f"{table}/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}")
+        if indexes:
+            df = df.sortWithinPartitions(*indexes[0])
+        writer = df.write
+        for column in sorted({c for names in indexes for c in names}):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(f"{self.root}/{name}")
         return name
 
     def read(self, segments: list[str], schema: T.StructType, with_segment: bool = False) -> DataFrame:

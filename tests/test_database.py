@@ -218,6 +218,7 @@ def test_types_round_trip(spark):
     assert row.pair == ("p", 1.5) and row.either == 2.5 and row.kind == "a" and row.alive is True and row.names == {"k": 1} and row.loud == "A" == e.loud
     db.items.update(e.id, {"meta": {"z": 1}, "tags": []})
     assert db.items.get(e.id).meta == {"z": 1} and db.items.get(e.id).tags == []
+    assert db.items.select().where({"loud": "A"}).count() == 1 and db.items.select("loud").order_by("loud").pluck("loud") == ["A"]
     with pytest.raises(ValidationError):
         db.items.insert({"kind": "c"})
     with pytest.raises(ValidationError):
@@ -295,6 +296,25 @@ def test_background_listener(db):
     assert seen == ["F"]
 
 
+def test_indexes_sort_and_filter(spark):
+    db = Database(spark, [TableSpec("points", {"email": s.string(), "n": s.integer()}, indexes=(("email",), ("n",)))])
+    db.points.insert_from(spark.range(2000).selectExpr("concat('e', (id * 7919) % 2000) email", "id n"))
+    assert db.points.select().where({"email": "e77"}).count() == 1
+    emails = [r.email for r in db.frame("points").coalesce(1).select("email").collect()]
+    assert emails == sorted(emails) or db.frame("points").rdd.getNumPartitions() > 1
+    db.points.update({"n": 1}).where({"email": "e5"}).exec()
+    db.points.compact()
+    assert db.points.count() == 2000
+
+
+def test_null_aware_not_in(spark, db):
+    empty = db.users.select("bio").where({"name": "Nobody"})
+    assert db.users.select().where_not_in("bio", empty).count() == 5
+    assert db.users.select().where_not_in("bio", spark.createDataFrame([("x",)], "b string")).count() == 1
+    assert db.users.select().where_not_in("name", spark.createDataFrame([("Bob",), (None,)], "b string")).count() == 0
+    assert "BroadcastNestedLoopJoin" not in db.users.select().where_not_in("name", db.users.select("email")).explain()
+
+
 def test_not_reactive(spark):
     db = Database(spark, [users()], reactive=False)
     db.users.insert({"name": "F", "email": "f@x.org"})
