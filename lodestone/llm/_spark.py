@@ -58,12 +58,15 @@ def _clean() -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
-def clean() -> None:
-    """Deletes all scratch tables that this session's operators have written so far; results
-    that weren't stored yet can't be read afterwards."""
-    while _scratch:
-        x = _scratch.pop()
-        drop_path(x.spark, x.root)
+def clean(unless_read_by: DataFrame | None = None) -> None:
+    """Deletes the scratch tables that operators have written so far, but for those that a
+    frame reads. Results that weren't stored yet can't be read afterwards."""
+    read = unless_read_by.inputFiles() if unless_read_by is not None else []
+    for x in list(_scratch):
+        name = x.root.rsplit("/", 1)[1]
+        if not any(name in f for f in read):
+            _scratch.remove(x)
+            drop_path(x.spark, x.root)
 
 
 class Scratch:
