@@ -11,8 +11,8 @@ A trie shard has two levels. The first holds the contexts of the shard, sorted;
 the successors of each context, sorted within it. Contexts, pointers and successors are
 monotone sequences in Elias-Fano form; a bigram is found by a successor search inside its
 context's range. Numerators of the smoothed probabilities are quantised to a code book of
-4,096 levels, exact for small counts. The levels are flat arrays in a file that is used from
-a memory map.
+4,096 levels, exact for small counts. The levels are flat arrays that are used from a memory
+map, of memory alone inside a task, or of a file that was saved.
 
 p(w | v) = share * c(v w) / c(v) + (1 - share) * (c(w) + 1) / (N + V + 1); after an unknown
 context it is the lower order alone. This sums to one, and needs nothing but counts, so that
@@ -22,8 +22,6 @@ shards are cut by (v, w): a very frequent context is spread over all of them.
 from __future__ import annotations
 
 import mmap
-import os
-import tempfile
 from pathlib import Path
 
 import numpy as np
@@ -150,30 +148,19 @@ class Trie:
         out[known[hit]] = self.codes[i[hit]]
         return out
 
-    def save(self, path: str) -> None:
+    def _bytes(self) -> bytes:
         parts = []
         for ef in (self.contexts, self.pointers, self.successors):
             parts += [np.array([ef.n, ef.low_bits], np.int64), ef.low, ef.high]
         parts.append(self.codes)
         head = np.array([x.nbytes for x in parts], np.int64)
-        Path(path).write_bytes(head.tobytes() + b"".join(x.tobytes() for x in parts))
+        return head.tobytes() + b"".join(x.tobytes() for x in parts)
 
-    def mapped(self) -> "Trie":
-        """The same trie over a memory map; the file's name is gone at once, its pages when
-        the map is."""
-        fd, path = tempfile.mkstemp(prefix="lodestone-trie-")
-        os.close(fd)
-        try:
-            self.save(path)
-            return Trie.open(path)
-        finally:
-            os.unlink(path)
+    def save(self, path: str) -> None:
+        Path(path).write_bytes(self._bytes())
 
     @classmethod
-    def open(cls, path: str) -> "Trie":
-        """The trie over a read-only memory map of the file."""
-        with open(path, "rb") as f:
-            m = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    def _over(cls, m: mmap.mmap) -> "Trie":
         sizes = np.frombuffer(m, np.int64, 10)
         at = np.append(80, 80 + np.cumsum(sizes))
         part = [np.frombuffer(m, np.uint8, int(s), int(a)) for s, a in zip(sizes, at)]
@@ -186,6 +173,19 @@ class Trie:
         out.codes = np.frombuffer(part[9].tobytes(), np.uint16)
         return out
 
+    def mapped(self) -> "Trie":
+        """The same trie over an anonymous memory map: one block, and no file on any disk."""
+        data = self._bytes()
+        m = mmap.mmap(-1, len(data))
+        m.write(data)
+        return Trie._over(m)
+
+    @classmethod
+    def open(cls, path: str) -> "Trie":
+        """The trie over a read-only memory map of a file that save() wrote."""
+        with open(path, "rb") as f:
+            return cls._over(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
 
 def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprints of all tokens, of each token's context, and the number of tokens of each
