@@ -3,10 +3,12 @@ external Parquet tables to query along with them."""
 
 from __future__ import annotations
 
+import atexit
 import datetime as dt
 import json
 import logging
 import re
+import shutil
 import tempfile
 import time
 import uuid
@@ -23,7 +25,7 @@ from ..operators.multi import compile_multi
 from ..operators.query import Change, Query
 from .entity import Entity
 from .schema import CREATED, DELETED, UPDATED, TableSpec, ValidationError, plain
-from .storage import State, Store, TableState
+from .storage import Files, State, Store, TableState
 
 log = logging.getLogger("lodestone")
 
@@ -109,7 +111,7 @@ class Database:
 
     ``relations`` is ``{child: {foreign_key: parent}}``, ``cascade`` ``{parent: [children]}``,
     ``hooks`` ``{table: {"before_insert": f, ...}}``. Without a path, a new folder in
-    spark.checkpoint.dir serves. The session is the caller's and stays open."""
+    spark.checkpoint.dir serves until the program ends. The session is the caller's and stays open."""
 
     def __init__(self, spark: SparkSession, specs: Iterable[TableSpec] = (), path: str | None = None, relations: dict[str, dict[str, str]] | None = None, cascade: dict[str, list[str]] | None = None, hooks: dict[str, dict[str, Callable]] | None = None, reactive: bool = True, debug: bool = False):
         self.spark = spark
@@ -743,10 +745,19 @@ class Database:
 
 
 def _scratch_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: in spark.checkpoint.dir, or where that isn't
-    set (one machine, tests) a temporary one."""
+    """A new folder that all executors share, gone when the program ends: in
+    spark.checkpoint.dir, or where that isn't set (one machine, tests) a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/lodestone-db-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='lodestone-db-')}"
+    path = f"{shared}/lodestone-db-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='lodestone-db-')}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        Files(spark, path).delete("")
+    elif path.startswith(("/", "file:")):
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 def _all_known(names: Iterable[str]) -> Column:
