@@ -54,6 +54,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     import shutil
 
+    for x in _scratch:  # what the program has read of these, it has read
+        if x.spark.sparkContext._jsc is not None:
+            drop_path(x.spark, x.root)
+        elif x.root.startswith(("/", "file:")):
+            shutil.rmtree(x.root.removeprefix("file://"), ignore_errors=True)
     for _, path in _made:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
