@@ -3,7 +3,7 @@
 Texts are lower-cased and split into words of letters; their 1- to 3-grams, with word
 boundaries, are hashed to a fixed number of dimensions. Document frequencies are counted in
 Spark over all training documents. The classifier is fitted on a bounded sample of them
-(``max_train_docs``, in equal shares of the languages) with follow-the-regularised-leader
+(``max_train_docs``, and a hundred of each rare language) with follow-the-regularised-leader
 (FTRL-Proximal) under an elastic net, which leaves most weights zero. A part of the sample
 is kept out of the fit and sets the temperature of the probabilities. The model has
 ``DIMENSIONS * (languages + 1)`` numbers however large the corpus is, and is broadcast; all
@@ -25,6 +25,8 @@ from . import _spark, _text
 
 DIMENSIONS = 1 << 16
 UNKNOWN = "und"
+#: Rows of a rare language in the sample; with at most 200 languages, 20,000 rows more.
+LEAST = 100
 _letters: list[np.ndarray] = []
 
 
@@ -161,15 +163,16 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
 
 def _sample(docs: DataFrame, text: str, language: str, doc_id: str, most: int, max_languages: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Features of about ``most`` rows, in equal shares of the languages, in random order."""
+    """Features of about ``most`` rows in random order, drawn alike from all languages, but
+    for rare ones, of which about LEAST rows are taken if there are so many."""
     sizes = docs.groupBy(language).agg(F.count("*").alias("n")).orderBy(F.desc("n"), language).limit(max_languages).collect()
     if not sizes:
         return []
-    share = max(most // len(sizes), 1)
+    share = min(1.0, most / sum(n for _, n in sizes))
     order = F.pmod(F.xxhash64(text, doc_id, F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.lit(False)
     for name, n in sizes:
-        chosen = F.when(F.col(language) == name, order < share / n).otherwise(chosen)
+        chosen = F.when(F.col(language) == name, order < max(share, LEAST / n)).otherwise(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
