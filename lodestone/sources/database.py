@@ -116,7 +116,7 @@ class Database:
     def __init__(self, spark: SparkSession, specs: Iterable[TableSpec] = (), path: str | None = None, relations: dict[str, dict[str, str]] | None = None, cascade: dict[str, list[str]] | None = None, hooks: dict[str, dict[str, Callable]] | None = None, reactive: bool = True, debug: bool = False):
         self.spark = spark
         self.specs = {s.name: s for s in specs}
-        self.external: dict[str, tuple[DataFrame, str]] = {}
+        self.external: dict[str, tuple[str | DataFrame, str]] = {}
         self.relations: list[tuple[str, str, str]] = []  # (child, foreign key, parent)
         self.cascade, self.hooks, self.reactive, self.debug = cascade or {}, hooks or {}, reactive, debug
         self.closed = False
@@ -149,10 +149,18 @@ class Database:
             self.store.commit(state)
 
     def attach(self, name: str, data: str | DataFrame, key: str = "id") -> "Database":
-        """Makes a Parquet path or a DataFrame readable as a table; it can't be changed."""
-        self.external[name] = (self.spark.read.parquet(data) if isinstance(data, str) else data, key)
+        """Makes a Parquet path or a DataFrame readable as a table; it can't be changed. A path
+        is not looked at before the table is used."""
+        self.external[name] = (data, key)
         return self
 
+    def _attached(self, name: str) -> DataFrame:
+        data, key = self.external[name]
+        if isinstance(data, str):
+            data = self.spark.read.parquet(data)
+            self.external[name] = (data, key)
+        return data
+
     def relate(self, child: str, foreign_key: str, parent: str) -> "Database":
         for t in (child, parent):
             if t not in self.specs and t not in self.external:
@@ -173,7 +181,7 @@ class Database:
 
     def columns(self, table: str) -> list[dict[str, Any]]:
         key = self.key_of(table)
-        schema = self.specs[table].schema if table in self.specs else self.external[table][0].schema
+        schema = self.specs[table].schema if table in self.specs else self._attached(table).schema
         required = {n for n, f in self.specs[table].fields.items() if not f.is_optional} if table in self.specs else set()
         return [{"name": f.name, "type": f.dataType.simpleString(), "not_null": f.name == key or f.name in required, "key": f.name == key} for f in schema]
 
@@ -200,7 +208,7 @@ class Database:
     def columns_of(self, table: str) -> list[str]:
         if table in self.specs:
             return [*self.specs[table].columns, *self.specs[table].computed]
-        return self.external[table][0].columns
+        return self._attached(table).columns
 
     def computed(self, table: str) -> dict[str, Callable]:
         return self.specs[table].computed if table in self.specs else {}
@@ -288,7 +296,7 @@ class Database:
         if table in self.specs:
             return self.store.read(self.state.tables[table].segments, self.specs[table].schema)
         if table in self.external:
-            return self.external[table][0]
+            return self._attached(table)
         raise ValueError(f"there is no table {table}")
 
     def rows(self, df: DataFrame, table: str | None) -> list:
