@@ -6,9 +6,11 @@
 2. In each band bucket every member is paired with the bucket's smallest, and a pair stays
    if the XOR population count of its sketches allows a high similarity. Members that fail
    against the smallest are paired with the smallest of themselves. The components of these
-   candidate pairs are the clusters to verify. Sets so small that only an equal set can reach
-   the similarity are done with step 1, and stay out of the bands: many of them may share one
-   frequent shingle, and so a bucket.
+   candidate pairs are clusters. Where a bucket has members of several, all pairs of different
+   clusters that the sizes allow meet in blocks, and clusters with a near pair become one. So
+   every near pair of a bucket is in one of the clusters to verify. Sets so small that only an
+   equal set can reach the similarity are done with step 1, and stay out of the bands: many of
+   them may share one frequent shingle, and so a bucket.
 3. The whole texts of a cluster meet once, in blocks of bounded size, and all links of
    different components are confirmed on the full sets: similar texts collapse quickly into
    the largest component, and only members outside it are compared with everything. No link
@@ -16,13 +18,12 @@
 4. The components of the links, with the classes of equal sets, are the groups.
 
 At similarity 0.8, 33 bands of 6 rows miss a pair with probability 5e-5, and the sketch
-bound lies six standard deviations away. A pair shares eight or nine buckets on average, and
-is missed as well if in each of them one of it fails against a centre that the other is near.
+bound lies six standard deviations away.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ _U = np.uint64
 _SEEDS = _text.mix(np.arange(1, BANDS * ROWS + 1, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
 #: Shingles of the texts in one block of a cluster.
 BLOCK_SHINGLES = 3_000_000
+#: Members of a bucket in one block, where its clusters are compared.
+BLOCK_MEMBERS = 8192
 
 
 def sketch_bound(similarity: float, sigmas: float = 6.0) -> int:
@@ -190,6 +193,82 @@ def links(values: np.ndarray, offsets: np.ndarray, percent: int, side: np.ndarra
     return out
 
 
+def joins(size: np.ndarray, sketch: np.ndarray, label: np.ndarray, probe: np.ndarray, target: np.ndarray, percent: int, bound: int) -> list[tuple[int, int]]:
+    """Pairs of labels that join all members of different labels whose sizes and sketches allow
+    a link, directly or over others. Every probe is compared with every target."""
+    label, out = label.copy(), []
+    for x in np.flatnonzero(probe):
+        lo, hi = size[x] * percent / 100, size[x] * 100 / percent
+        cand = np.flatnonzero(target & (label != label[x]) & (size >= lo - 1e-9) & (size <= hi + 1e-9))
+        near = cand[np.bitwise_count(sketch[cand] ^ sketch[x]).sum(axis=1) <= bound]
+        for other in np.unique(label[near]):
+            out.append((int(label[x]), int(other)))
+            label[label == other] = label[x]
+    return out
+
+
+def _meet(stars: DataFrame, failed: DataFrame, cluster: DataFrame, reps: DataFrame, percent: int, bound: int, parts: int) -> DataFrame:
+    """Pairs (a, b) of clusters with a near pair in a bucket. A row without a cluster is one.
+
+    Only buckets of at least three members, one of which failed against the first centre, have
+    pairs that no centre has judged. The rows of a bucket's largest cluster, which are many if
+    the bucket is hot, meet only the others, and these meet each other as well."""
+    hot = stars.join(failed.select("key").distinct(), "key", "left_semi")
+    members = hot.select("key", F.col("b").alias("row_id")).union(hot.select("key", F.col("a").alias("row_id"))).distinct()
+    placed = members.join(cluster, "row_id", "left").select("key", "row_id", F.coalesce("cluster", "row_id").alias("cluster"))
+    shares = placed.groupBy("key", "cluster").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("key").agg(F.sum("n").alias("m"), F.count("*").alias("c"), F.max(F.struct("n", "cluster")).alias("top")).where("c > 1 and m > 2")
+    mixed = mixed.select("key", F.col("top.cluster").alias("largest"), *(F.ceil(n / BLOCK_MEMBERS).cast("int").alias(c) for n, c in ((F.col("top.n"), "mains"), (F.col("m") - F.col("top.n"), "rests"))))
+    rest = F.col("cluster") != F.col("largest")
+    dealt = placed.join(mixed, "key").withColumn("rest", rest).withColumn("block", F.pmod(F.xxhash64("row_id"), F.when(rest, F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+    # a block of the largest cluster has the number -1 - block
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.when(F.col("rest"), -F.col("mains")).otherwise(F.lit(0)), F.col("rests") - 1)))
+    inner = F.col("other") >= 0
+    i = F.when(~F.col("rest"), F.col("other")).when(inner, F.least("block", "other")).otherwise(F.col("block"))
+    j = F.when(~F.col("rest"), -1 - F.col("block")).when(inner, F.greatest("block", "other")).otherwise(F.col("other"))
+    cells = dealt.select("key", i.alias("i"), j.alias("j"), (F.col("rest") & (F.col("block") == i)).alias("probe"), "row_id", "cluster")
+    rows = cells.join(reps.select("row_id", "n_shingles", "sketch"), "row_id").select("key", "i", "j", "probe", "cluster", "n_shingles", "sketch")
+
+    def check(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        probe = t.column("probe").to_numpy()
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(t), SKETCH_BITS // 64)
+        target = np.ones(len(t), bool) if t.column("i")[0] == t.column("j")[0] else ~probe
+        found = joins(t.column("n_shingles").to_numpy(), sketch, t.column("cluster").to_numpy(), probe, target, percent, bound)
+        if found:
+            x = np.array(found)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+    keyed = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return keyed.mapInArrow(lambda batches: _by_key(batches, ("key", "i", "j"), check), "a long, b long").distinct()
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], check: Callable[[list[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """What ``check`` gives for the rows of each key, of batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy() for c in names])
+        cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            now = tuple(key[:, a])
+            if held and now != last:
+                yield from check(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield from check(held)
+
+
+def _merged(cluster: DataFrame, pairs: DataFrame, scratch: _spark.Scratch) -> DataFrame:
+    """(row_id, cluster) after the clusters of the pairs (a, b) have become one."""
+    joined = _spark.components(pairs, scratch, "joined")
+    alone = joined.join(cluster, joined.node == cluster.row_id, "left_anti").select(F.col("node").alias("row_id"), F.col("node").alias("cluster"))
+    out = cluster.select("row_id", "cluster").union(alone)
+    return out.join(joined, out.cluster == joined.node, "left").select("row_id", F.coalesce("component", "cluster").alias("cluster"))
+
+
 def _verify(texts: DataFrame, shingle: int, percent: int, parts: int) -> DataFrame:
     """Confirmed links (a, b) of rows (cluster, i, j, block, row_id, text): a task handles
     one (cluster, i, j) after another, the block i against the block j, or one within itself."""
@@ -206,24 +285,8 @@ def _verify(texts: DataFrame, shingle: int, percent: int, parts: int) -> DataFra
             x = np.array(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids[x[:, 0]]), pa.array(ids[x[:, 1]])], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("cluster", "i", "j")])
-            cuts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [batch.num_rows]])
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                now = tuple(key[:, a])
-                if held and now != last:
-                    yield from check(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = now
-        if held:
-            yield from check(held)
-
     keyed = texts.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-    return keyed.mapInArrow(run, "a long, b long")
+    return keyed.mapInArrow(lambda batches: _by_key(batches, ("cluster", "i", "j"), check), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -260,6 +323,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     second = _close(_stars(failed.distinct()).select("a", "b").distinct(), sketches, bound)
     near = judged.union(second).where("near").select("a", "b")
     cluster = scratch.put(_spark.components(near, scratch, "cluster").withColumnRenamed("node", "row_id").withColumnRenamed("component", "cluster"), "clusters")
+    parts = _spark.parts_for(_spark.stored_bytes(docs, text), 12e6, spark)
+    pairs = scratch.put(_meet(first, failed, cluster, reps, percent, bound, parts), "pairs")
+    if not pairs.isEmpty():
+        cluster = scratch.put(_merged(cluster, pairs, scratch), "merged")
 
     sized = cluster.join(reps.groupBy("row_id").agg(F.sum("n_shingles").alias("n_shingles")), "row_id")
     blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
@@ -267,7 +334,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     grid = placed.select("row_id", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     grid = grid.select("row_id", "cluster", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     chosen = plain.join(grid, "row_id").select("cluster", "i", "j", "block", "row_id", "text")
-    parts = _spark.parts_for(_spark.stored_bytes(docs, text), 12e6, spark)
     edges = _verify(chosen, shingle, percent, parts)
     linked = edges.union(_several(some, classes))
     group = scratch.put(_spark.components(linked, scratch, "links"), "groups")

@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lodestone.llm import neardup
+from lodestone.llm import _text, neardup
 from lodestone.llm.neardup import near_duplicates
 
 
@@ -94,3 +95,26 @@ def test_links_span_all_pairs(n):
     values = np.concatenate([np.sort(np.r_[np.arange(100), 1000 + i]).astype(np.uint64) for i in range(n)])
     found = neardup.links(values, np.arange(n + 1) * 101, 80)
     assert len(found) == n - 1
+
+
+@pytest.mark.parametrize("members", [neardup.BLOCK_MEMBERS, 3])
+def test_pair_behind_far_centres(spark, monkeypatch, members):
+    """Both of a pair are far from the two first members of every bucket that they share."""
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", members)
+    passage = " ".join(f"p{i}" for i in range(20))
+    pair = [(1000 + i, f"{passage} a{i} b{i}") for i in range(2)]
+    pool = [f"w{i}" for i in range(9000)]
+    mine, each = (neardup.minhash(*_text.shingle_sets(pa.array(t), 1)) for t in ([t for _, t in pair], pool))
+    bands = np.arange(neardup.BANDS * neardup.ROWS).reshape(neardup.BANDS, neardup.ROWS)
+    shared = [b for b in bands if (mine[0, b] == mine[1, b]).all()]
+    free, hubs = np.ones(len(pool), bool), []
+    for b in shared:
+        while sum((neardup.minhash(*_text.shingle_sets(pa.array([t]), 1))[0, b] == mine[0, b]).all() for t in hubs) < 2:
+            tail = np.flatnonzero(free & (each[:, b] > mine[0, b]).all(axis=1))[:60]
+            free[tail] = False
+            hub = " ".join([passage, *(pool[i] for i in tail)])
+            sketch = neardup.odd_sketches(neardup.minhash(*_text.shingle_sets(pa.array([hub, *(t for _, t in pair)]), 1)))
+            if (np.bitwise_count(sketch[1:] ^ sketch[0]).sum(axis=1) > neardup.sketch_bound(0.8)).all():
+                hubs.append(hub)
+    assert shared
+    check(spark.createDataFrame([*enumerate(hubs), *pair], "doc_id long, text string"), 1)
