@@ -7,9 +7,12 @@ the toxic documents not explained yet become entries: whole words, or beginnings
 for all their inflections (stems). At most ``max_terms`` entries are kept, which bounds the
 model.
 
-Every word of a text is looked up exactly. A word that is no entry, but shares a half with a
-whole-word entry, is run as a Levenshtein automaton through the trie; misspellings that the
-training documents show to be words in their own right are no hits. A hit inside quotation
+Every word of a text is looked up exactly. A word that is no entry, but shares a half with an
+entry, is run as a Levenshtein automaton through the tries of whole words and of stems, which
+are met by a word's beginning; misspellings that the training documents show to be words, or
+beginnings of words, in their own right are no hits. Entries of fewer than five characters
+must keep their first letter, and those of three allow only a doubled letter or a swap. A
+misspelt weak entry counts as a weak hit. A hit inside quotation
 marks, or next to words of report, counts as quoted. Hits are weighed by how many others
 stand in the window around them, and a logistic regression over the few cells that these
 numbers fall into, fitted on the same documents, makes the score.
@@ -95,6 +98,7 @@ class Trie:
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
+        self.shortest = min(map(len, terms), default=0)
         for term in terms:
             node = self.root
             for c in term:
@@ -127,6 +131,25 @@ class Trie:
         walk(self.root, "", list(range(len(word) + 1)), None)
         return sorted(out, key=lambda x: (x[1], x[0]))
 
+    def near_beginnings(self, word: str, most: int = 1) -> list[tuple[str, int]]:
+        """Terms within ``most`` edits of a beginning of the word, each with the length of the
+        nearest such beginning, the longest of several."""
+        best: dict[str, tuple[int, int]] = {}
+        for n in range(max(self.shortest - most, 1), len(word) + 1):
+            for term, d in self.near(word[:n], most):
+                best[term] = min(best.get(term, (d, -n)), (d, -n))
+        return sorted((term, -n) for term, (_, n) in best.items())
+
+
+def plausible(term: str, got: str) -> bool:
+    """Whether what is one edit from an entry may be its misspelling: short entries have too
+    many ordinary neighbours."""
+    if len(term) >= 5:
+        return True
+    if got[:1] != term[0]:
+        return False
+    return len(term) == 4 or sorted(got) == sorted(term) or got in {term[: i + 1] + term[i:] for i in range(len(term))}
+
 
 #: Numbers of clear, quoted, misspelt and weak hits, and of hits in the fullest window, each
 #: on a scale of 0 to CELLS - 1.
@@ -136,8 +159,8 @@ FEATURES, CELLS = 5, 6
 @dataclass
 class Model:
     """Entries (whole words, stems), which of them are weak (clean documents have them now and
-    then), known words near entries that are no misspellings, and the weights of a bias and
-    the features."""
+    then), known words near entries, and known beginnings (with ``*``) near stems, that are no
+    misspellings, and the weights of a bias and the features."""
 
     words: list[str]
     stems: list[str]
@@ -149,25 +172,38 @@ class Model:
         self.word_keys = _keys(self.words)
         self.stem_keys = {n: _keys(x for x in self.stems if len(x) == n) for n in {len(x) for x in self.stems}}
         self.weak_keys = _keys(self.weak)
-        long = [x for x in self.words if len(x) >= 5 and x not in self.weak]
-        self.trie = Trie(long)
-        self.halves = {}
-        for x in long:  # one edit leaves the first or the last half of a term untouched
+        self.trie, self.stem_trie = Trie(self.words), Trie(self.stems)
+        self.longest = max((len(x) for x in self.stems), default=0) + 1
+        self.halves, self.begins = {}, {}
+        for x in self.words:  # one edit leaves the first or the last half of a term untouched
             h = len(x) // 2
             for m in (len(x) - 1, len(x), len(x) + 1):
                 self.halves.setdefault((m, h, True), set()).add(hash_of(x[:h]))
                 self.halves.setdefault((m, len(x) - h - 1, False), set()).add(hash_of(x[h + 1 :]))
-        self.halves = {k: np.sort(np.array(sorted(v), _U)) for k, v in self.halves.items()}
+        for x in self.stems:
+            h = len(x) // 2
+            self.begins.setdefault((0, h), set()).add(hash_of(x[:h]))
+            for m in (len(x) - 1, len(x), len(x) + 1):
+                self.begins.setdefault((m - (len(x) - h - 1), m), set()).add(hash_of(x[h + 1 :]))
+        self.halves, self.begins = ({k: np.sort(np.array(sorted(v), _U)) for k, v in of.items()} for of in (self.halves, self.begins))
         self.report = _keys(REPORT)
-        self.cache: dict[str, bool] = {}
+        self.cache: dict[str, int] = {}
         return self
 
-    def misspelt(self, word: str) -> bool:
+    def near(self, word: str) -> list[tuple[str, str]]:
+        """(entry, what of the word is near it): the word, or a beginning and ``*``."""
+        whole = [(term, word) for term, _ in self.trie.near(word) if plausible(term, word)]
+        begin = self.stem_trie.near_beginnings(word[: self.longest]) if self.stems else []
+        return whole + [(term, f"{word[:n]}*") for term, n in begin if plausible(term, word[:n])]
+
+    def misspelt(self, word: str) -> int:
+        """2 if the word is a misspelt entry, 3 if a weak one, 0 if neither."""
         got = self.cache.get(word)
         if got is None:
             if len(self.cache) > 200_000:
                 self.cache.clear()
-            got = self.cache[word] = word not in self.known and bool(self.trie.near(word))
+            found = [term for term, what in self.near(word) if what not in self.known]
+            got = self.cache[word] = 0 if not found else 3 if self.weak.issuperset(found) else 2
         return got
 
 
@@ -177,14 +213,18 @@ def _in(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
 
 
-def _near_half(t: Tokens, halves: dict) -> np.ndarray:
-    """Words that share a half, and nearly the length, with an entry."""
+def _near_half(t: Tokens, halves: dict, begins: dict) -> np.ndarray:
+    """Words that share a half, and nearly the length, with an entry, or that have a half of a
+    stem about where the stem has it."""
     out = np.zeros(len(t.start), bool)
     for m in {k[0] for k in halves}:
         at = np.flatnonzero(t.size == m)
         for (_, h, front), keys in ((k, v) for k, v in halves.items() if k[0] == m):
             s, e = t.start[at], t.end[at]
             out[at] |= _in(keys, t.spans(s, s + h) if front else t.spans(e - h, e))
+    for (a, b), keys in begins.items():
+        at = np.flatnonzero((t.size >= b) & ~out)
+        out[at] = _in(keys, t.spans(t.start[at] + a, t.start[at] + b))
     return out
 
 
@@ -200,11 +240,12 @@ def hits(texts: pa.Array, model: Model) -> tuple[Tokens, np.ndarray, np.ndarray,
         found = _in(keys, begin)
         weak[at[found & ~exact[at]]] = _in(model.weak_keys, begin[found & ~exact[at]])
         exact[at] |= found
-    wrong = np.zeros(len(own), bool)
-    for i in np.flatnonzero(_near_half(t, model.halves) & ~exact):
-        wrong[i] = model.misspelt(t.word(i))
-    at = np.flatnonzero(exact | wrong)
-    kind = np.where(wrong[at], 2, np.where(weak[at], 3, 0))
+    wrong = np.zeros(len(own), np.int64)
+    maybe = np.flatnonzero(_near_half(t, model.halves, model.begins) & ~exact)
+    _, one, which = np.unique(own[maybe], return_index=True, return_inverse=True)
+    wrong[maybe] = np.array([model.misspelt(t.word(i)) for i in maybe[one]], np.int64)[which]
+    at = np.flatnonzero(exact | (wrong > 0))
+    kind = np.where(wrong[at] > 0, wrong[at], np.where(weak[at], 3, 0))
     if not len(at):
         return t, at, kind, np.zeros(0, bool)
     marks, lines = np.flatnonzero(t.kind == 2), np.flatnonzero(t.points == 10)
@@ -387,15 +428,16 @@ def learn_lexicon(rows: DataFrame, scratch: _spark.Scratch, max_terms: int = 200
 
 
 def _known(labelled: DataFrame, model: Model) -> set[str]:
-    """Words near an entry that other documents use, which are therefore no misspellings. An
-    entry of n characters has at most some hundred n such neighbours."""
+    """Words near an entry, and beginnings near a stem, that other documents use, which are
+    therefore no misspellings. An entry of n characters has at most some hundred n such
+    neighbours."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.prepare()
         for batch in batches:
             for a, b in _text.slices(batch.column(0)):
                 t, at, kind, _ = hits(batch.column(0).slice(a, b - a), own)
-                found = sorted({t.word(i) for i in at[kind == 2]})
+                found = sorted({what for word in {t.word(i) for i in at[kind >= 2]} for _, what in own.near(word)})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["word"])
 
     rows = labelled.where("label = 0").select("text").mapInArrow(find, "word string")

@@ -98,3 +98,21 @@ def test_tokens_are_those_of_each_text():
     words = [[t.word(i) for i in range(t.of[d], t.of[d + 1])] for d in range(len(texts))]
     assert words == [["ab1", "c", "d"], [], [], ["é日"], ["x"], ["e"]]
     assert t.spans(t.start[:1], t.end[:1])[0] == T.hash_of("ab1")
+
+
+def test_misspelt_stems_and_short_and_weak_entries():
+    m = T.Model(["scum", "idiot", "git"], ["gromp", "blath"], weak={"idiot", "blath"}, known={"scam", "gromm*"}).prepare()
+    kinds = {w: list(T.hits(pa.array([w]), m)[2]) for w in "grompen gropmen grampisch grmpung grommet skum scmu scumm scam slam crum idoit blatherer balther git gti giit gut ordinary".split()}
+    assert kinds["grompen"] == [0] and all(kinds[w] == [2] for w in ("gropmen", "grampisch", "grmpung", "skum", "scmu", "scumm", "gti", "giit"))
+    assert kinds["idoit"] == kinds["blatherer"] == kinds["balther"] == [3] and kinds["git"] == [0]
+    assert not any(kinds[w] for w in ("grommet", "scam", "slam", "crum", "gut", "ordinary"))
+
+
+def test_halves_lose_no_misspelt_stem():
+    rng = random.Random(3)
+    m = T.Model([], ["scoundr", "gromp", "bleat"]).prepare()
+    for term in m.stems:
+        for _ in range(200):
+            i, c = rng.randrange(len(term)), rng.choice("abcxyz")
+            w = rng.choice([term[:i] + term[i + 1 :], term[:i] + c + term[i:], term[:i] + c + term[i + 1 :], term[:i] + term[i + 1 : i + 2] + term[i] + term[i + 2 :]]) + rng.choice(["", "en", "ing"])
+            assert len(T.hits(pa.array([w]), m)[2]) == 1, (term, w)
