@@ -38,11 +38,13 @@ class Encoder:
 
     The vocabulary is read from the file of the ``tokenizers`` library, and the merges are
     run by ``tiktoken``, whose ids are the same and several times faster to get (the tests
-    hold one against the other)."""
+    hold one against the other). Its regular expressions give up on runs of a million white
+    spaces; such a text is encoded by ``tokenizers`` itself."""
 
     def __init__(self, path: str):
         import tiktoken
 
+        self._path, self._slow = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,7 +55,14 @@ class Encoder:
         self._special = set(special)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self._core.encode_to_tiktoken_buffer(text, self._special), np.uint32)
+        try:
+            return np.frombuffer(self._core.encode_to_tiktoken_buffer(text, self._special), np.uint32)
+        except ValueError:  # the expression's stack is bounded
+            if self._slow is None:
+                import tokenizers
+
+                self._slow = tokenizers.Tokenizer.from_file(self._path)
+            return np.array(self._slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 class Slack:
