@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,6 +96,22 @@ def fields(df: DataFrame, keep: tuple[str, ...], ddl: str) -> T.StructType:
     return T.StructType([*df.select(*keep).schema.fields, *T._parse_datatype_string(ddl).fields])
 
 
+def made(name: str) -> str:
+    return f"made_{name}"
+
+
+def carried(df: DataFrame, keep: tuple[str, ...], results: str, **columns: Column) -> tuple[DataFrame, list[str], T.StructType]:
+    """A frame of the kept columns, under neutral names, and then ``made(name)`` for each of
+    ``columns``; the kept columns' own names; and the schema of them followed by ``results``
+    (DDL). A kept column with the name of a result gives way to it, so that no name of the
+    input can clash."""
+    new = T._parse_datatype_string(results).fields
+    names = [c for c in keep if c.lower() not in {x.name.lower() for x in new}]
+    types = df.select(*names).schema.fields
+    rows = df.select(*(F.col(c).alias(f"kept_{i}") for i, c in enumerate(names)), *(c.alias(made(n)) for n, c in columns.items()))
+    return rows, names, T.StructType([*types, *new])
+
+
 def stored_bytes(df: DataFrame, text: str = "text") -> float:
     """About how many bytes of (compressed) storage the rows take; measured where the plan
     does not know."""

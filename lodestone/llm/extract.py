@@ -1,16 +1,24 @@
 """HTML extraction with site template removal.
 
-A page is read into a tree of elements. Every subtree of a page that could be part of a site's
-frame (not the prose inside an article) is hashed from its tags, classes and text; Spark
-counts per host in how many pages with different content each hash occurs. Subtrees that
-recur on many pages of their host are deleted from all of them, along with what HTML itself
-names as no part of the article: navigation, headers, footers, asides, forms, scripts, and
-elements whose class, id or role says so. The text of what is left of the page's article, in
-blocks, is the result.
+A page is read into a tree of elements. All block subtrees of a page, whatever they are
+called, are hashed from their tags, classes and text; Spark counts per host in how many pages
+with different articles each hash occurs. Subtrees that recur on many pages of their host are
+deleted from all of them. Exempt is what makes up an article: its container, and inside a
+marked article its paragraphs, headings, tables and lists of prose, which several articles may
+share.
+
+Only what recurrence can't decide is left to names: elements that HTML itself gives another
+purpose than the article's (navigation, headers, footers, asides, forms, scripts), and classes,
+ids and roles that say so. Inside a marked article a class counts only if all of its words are
+known words of page frames, or if the element is mostly links. The text of what is left of the
+page's article, in blocks, is the result.
 
 A host's recurring subtrees are at most ``1 / share`` times the mean number of subtrees of its
-pages. All hosts' together are broadcast as sorted hashes if they are fewer than
-``BROADCAST_HASHES``; beyond that, pages are joined to their host's set on a salted key.
+pages, and those outside articles on ``many`` pages at most ``1 / many`` of their total. All
+hosts' together are broadcast as sorted hashes if they are fewer than ``BROADCAST_HASHES``;
+beyond that, pages are joined to their host's set on a salted key.
+
+Reading a page takes time in proportion to its length, whatever it contains.
 """
 
 from __future__ import annotations
@@ -30,7 +38,9 @@ from . import _spark
 
 #: At most so many hashes (some 50 MB as Python sets) are broadcast.
 BROADCAST_HASHES = 500_000
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_STOP = re.compile(r"[>\"']")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_REFERENCE = re.compile(r"&#\d{9,};?")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,15 +49,18 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 CLOSES_P = BLOCKS - {"dd", "dt", "li", "option", "optgroup", "tbody", "tfoot", "thead", "tr", "caption", "legend", "body", "html"}
 #: What a start tag ends, if it is open above the nearest element of the second set.
 IMPLIED = {
+    "p": ({"p"}, {"button", "td", "th", "caption", "object"}),
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist", "optgroup"}),
-    **{t: ({"thead", "tbody", "tfoot"}, {"table"}) for t in ("thead", "tbody", "tfoot")},
+    "tbody": ({"thead", "tbody", "tfoot"}, {"table"}),
 }
+#: The entry of IMPLIED that a start tag follows, but for those that end a paragraph.
+ENDS = {tag: name for name, (tags, _) in IMPLIED.items() for tag in tags}
+#: The entries of IMPLIED that an element opens (true) or hides (false) for what is in it.
+OPENS = {tag: {n: tag in opens for n, (opens, hides) in IMPLIED.items() if tag in opens | hides} for opens, hides in IMPLIED.values() for tag in opens | hides}
 #: Elements that are never part of an article.
 DROP = frozenset("head script style noscript template nav header footer aside form button select datalist option textarea input iframe object embed applet svg canvas audio video map dialog menu noembed noframes title xmp".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
@@ -59,22 +72,75 @@ FRAME_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
 #: Prose: never deleted as a template inside an article.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption td th tr tbody thead tfoot caption".split())
+#: Containers of prose, exempt inside an article unless they are mostly links.
+LISTS = frozenset("ul ol dl table figure".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words that go with a frame word in a class without giving it another meaning.
+NEUTRAL_WORDS = frozenset(
+    "area articles bar block blocks body bottom box btn button buttons card cards col column container content entry field form global group head header heading icon icons inner item items js label left link links list lists main message module nav outer page pages panel post posts primary right row secondary section sections site slot small static stories story strip text title top unit us wrap wrapper".split()
+)
 
 
 class Node:
-    __slots__ = ("tag", "words", "role", "hidden", "up", "items", "digest", "main", "size", "linked")
+    __slots__ = ("tag", "words", "framed", "role", "hidden", "up", "items", "digest", "main", "size", "linked", "within", "scope")
 
     def __init__(self, tag: str, attributes: str, up: "Node | None"):
         self.tag, self.up, self.items = tag, up, []
-        self.words, self.role, self.hidden = frozenset(), "", False
+        self.words, self.framed, self.role, self.hidden = frozenset(), False, "", False
         if attributes and not attributes.isspace():
             found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
             named = f"{found.get('class', '')} {found.get('id', '')}"
             if named != " ":
-                self.words = frozenset(x.lower() for x in _PART.findall(named))
+                parts = [frozenset(x.lower() for x in _PART.findall(name)) for name in named.split()]
+                self.words = frozenset().union(*parts)
+                self.framed = any(x & FRAME_WORDS and x <= FRAME_WORDS | NEUTRAL_WORDS for x in parts)
             self.role = found.get("role", "").lower()
             self.hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        #: Inside an article or main element; and the nearest open element of each entry of IMPLIED.
+        self.within = up is not None and (up.within or up.tag in ("article", "main") or up.role == "main")
+        self.scope = up.scope if up is not None else {}
+        if tag in OPENS:
+            self.scope = {**self.scope, **{n: self if opens else None for n, opens in OPENS[tag].items()}}
+
+
+class Tags:
+    """Finds where tags end, in time proportional to the page: what is searched for once in
+    vain is not searched for again."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {c: source.rfind(c) for c in "<>\"'"}
+        self.quotes = True  # until a tag with quoted values turns out never to end
+
+    def quoted(self, at: int, start: int) -> bool:
+        """Whether the quotation mark at ``at`` opens a value: it follows an equals sign."""
+        before = at - 1
+        while before > start and self.source[before].isspace():
+            before -= 1
+        return self.source[before] == "=" and at < self.last[self.source[at]]
+
+    def end(self, start: int) -> int:
+        """The place of the > that ends the tag at ``start``; -1 if none does."""
+        if start > self.last[">"]:
+            return -1
+        at = start
+        while self.quotes:
+            m = _STOP.search(self.source, at)
+            if m is None:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            elif self.quoted(m.start(), start):
+                at = self.source.index(m[0], m.end()) + 1
+            else:
+                at = m.end()
+        return self.source.index(">", start)
+
+
+def unescape(text: str) -> str:
+    """Character references decoded; those of numbers too long to be a character's give the
+    replacement character, as all that name none do."""
+    return _html.unescape(_REFERENCE.sub("\uFFFD", text)) if "&" in text else text
 
 
 def parse(source: str) -> list[Node]:
@@ -91,48 +157,59 @@ def parse(source: str) -> list[Node]:
         is_open[node.tag] -= 1
         node = node.up
 
-    def end(tags: set[str], within: set[str]) -> None:
-        x = node
-        while x is not None and x.tag not in within:
-            if x.tag in tags:
-                return close(x)
-            x = x.up
-
-    while at < len(source):
-        m = _TOKEN.search(source, at)
-        if not m:
-            node.items.append(_html.unescape(source[at:]))
+    tags, held = Tags(source), 0  # text from ``held`` on is not in the tree yet
+    while True:
+        at = source.find("<", at) if at <= tags.last["<"] else -1
+        if at < 0:
+            if held < len(source):
+                node.items.append(unescape(source[held:]))
             break
-        if m.start() > at:
-            node.items.append(_html.unescape(source[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                node.items.append(m[0][9:].removesuffix("]]>"))
+        closing = source.startswith("/", at + 1)
+        name = _NAME.match(source, at + 1 + closing, min(at + 256, len(source)))
+        other = not closing and name is None and source.startswith(("!", "?"), at + 1)
+        stop = tags.end(at) if name else -1
+        if not other and stop < 0:
+            at += 1
+            continue
+        if held < at:
+            node.items.append(unescape(source[held:at]))
+        if other:
+            if source.startswith(("<!--", "<![CDATA["), at):
+                mark = "-->" if source.startswith("<!--", at) else "]]>"
+                stop = source.find(mark, at + 4)
+                stop = len(source) if stop < 0 else stop
+                if mark == "]]>":
+                    node.items.append(source[at + 9 : stop])
+                at = held = min(stop + 3, len(source))
+            else:
+                stop = source.find(">", at) if at < tags.last[">"] else -1
+                at = held = stop + 1 if stop >= 0 else len(source)
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag, attributes = name[0].lower(), source[name.end() : stop]
+        at = held = stop + 1
+        if closing:
             if is_open[tag] > 0:
-                end({tag}, set())
+                x = node
+                while x.tag != tag:
+                    x = x.up
+                close(x)
             continue
         if tag in ("html", "body") and is_open[tag] > 0:
             continue
-        if tag in CLOSES_P and is_open["p"] > 0:
-            end({"p"}, {"button", "td", "th", "caption", "object"})
-        if tag in IMPLIED and any(is_open[x] > 0 for x in IMPLIED[tag][0]):
-            end(*IMPLIED[tag])
+        for entry in ("p" if tag in CLOSES_P else None, ENDS.get(tag)):
+            if entry and node.scope.get(entry) is not None:
+                close(node.scope[entry])
         if tag in HEADINGS and node.tag in HEADINGS:
             close(node)
-        child = Node(tag, m[3], node)
+        child = Node(tag, attributes, node)
         node.items.append(child)
         nodes.append(child)
         if tag in VOID:
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
-            at = stop.start() if stop else len(source)
-            close_at = source.find(">", at)
-            at = close_at + 1 if close_at >= 0 else len(source)
+            found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+            stop = source.find(">", found.start()) if found else -1
+            at = held = stop + 1 if stop >= 0 else len(source)
             continue
         node = child
         is_open[tag] += 1
@@ -170,14 +247,34 @@ def dropped(n: Node) -> bool:
         return True
     if n.tag == "article":
         return bool(n.words & COMMENT_WORDS) or not n.main
-    return bool(n.words & FRAME_WORDS) and not n.main and n.tag not in HEADINGS
+    if n.main or n.tag in HEADINGS or not n.words & FRAME_WORDS:
+        return False
+    return not n.within or n.framed or 2 * n.linked > n.size
 
 
-def outside(nodes: list[Node]) -> set[int]:
-    """Ids of elements that are dropped or inside one."""
+def exempt(n: Node) -> bool:
+    """What recurrence never deletes: an article's container, and prose inside one."""
+    return n.main or n.within and (n.tag in PROSE or n.tag in LISTS and 2 * n.linked <= n.size)
+
+
+def recurring(nodes: list[Node], templates: frozenset[int] | set[int]) -> tuple[set[int], int]:
+    """Ids of elements that are a template or inside one, and the number of whole templates."""
     out: set[int] = set()
+    found = 0
+    for n in nodes if templates else ():
+        if id(n.up) in out:
+            out.add(id(n))
+        elif n.tag in BLOCKS and n.size and n.digest in templates and not exempt(n):
+            out.add(id(n))
+            found += 1
+    return out, found
+
+
+def outside(nodes: list[Node], gone: set[int] = frozenset()) -> set[int]:
+    """Ids of elements that are in ``gone``, dropped or inside one that is."""
+    out: set[int] = set(gone)
     for n in nodes:
-        if n.up is not None and id(n.up) in out or dropped(n):
+        if id(n) not in out and (id(n.up) in out or dropped(n)):
             out.add(id(n))
     return out
 
@@ -206,33 +303,39 @@ def article(nodes: list[Node], out: set[int]) -> tuple[Node, bool]:
         node = best
 
 
-def frame(source: str | None) -> tuple[int, list[int]]:
-    """A digest of the page's article, and the digests of subtrees that may be templates."""
+def frame(source: str | None) -> tuple[int, list[int], list[int]]:
+    """A digest of the page's article, the same for most near copies of it; and the digests of
+    subtrees outside and inside marked articles that may be templates, named or not."""
     nodes = parse(source or "")
     measure(nodes)
-    out = outside(nodes)
-    top, marked = article(nodes, out)
+    top, _ = article(nodes, outside(nodes))
     inside: set[int] = set()
-    digests = set()
+    prose: set[int] = set()
+    found: tuple[set[int], set[int]] = (set(), set())
     for n in nodes:
         if n is top or id(n.up) in inside:
             inside.add(id(n))
-        if n.size and id(n) not in out and n.tag in BLOCKS and not n.main and not (marked and id(n) in inside and n.tag in PROSE):
-            digests.add(n.digest)
-    return top.digest, sorted(digests)
+            if n.tag in PROSE and n.size:
+                prose.add(n.digest)
+        if n.size and n.tag in BLOCKS and n.tag not in ("html", "body", "head") and not exempt(n):
+            found[n.within].add(n.digest)
+    # three of the article's blocks, those of the smallest hashes, stand for it
+    own = xxhash.xxh64(b"".join(x.to_bytes(8, "little") for x in sorted(prose)[:3])).intdigest() if prose else top.digest
+    return own, sorted(found[0] - found[1]), sorted(found[1])
 
 
 def main_text(source: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
     """The article's blocks, one line each."""
+    return extract(source, templates)[0]
+
+
+def extract(source: str | None, templates: frozenset[int] | set[int] = frozenset()) -> tuple[str, int]:
+    """The article's blocks, one line each, and the number of templates deleted."""
     nodes = parse(source or "")
     measure(nodes)
-    out = outside(nodes)
+    gone, deleted = recurring(nodes, templates)
+    out = outside(nodes, gone)
     top, marked = article(nodes, out)
-    if not marked:  # the frame may hide the article
-        for n in nodes:
-            if n.up is not None and (id(n.up) in out or n.digest in templates and n.tag in BLOCKS and not n.main):
-                out.add(id(n))
-        top, marked = article(nodes, out)
     lines: list[str] = []
     line: list[str] = []
 
@@ -253,13 +356,11 @@ def main_text(source: str | None, templates: frozenset[int] | set[int] = frozens
             if not isinstance(x, Node):
                 line.append(x)
             elif id(x) in out:
-                if x.tag == "header" or "header" in x.words:  # an article's own header has its title
+                if (x.tag == "header" or "header" in x.words) and id(x) not in gone:  # an article's own header has its title
                     if marked and x.up is top:
                         stack.append((n, i))
                         stack.append((_titles(x, out), 0))
                         break
-            elif x.digest in templates and x.tag in BLOCKS and not x.main and not (marked and x.tag in PROSE):
-                pass
             elif x.tag in ("br", "td", "th") or x.tag == "hr":
                 line.append(" ")
                 if x.items:
@@ -276,7 +377,7 @@ def main_text(source: str | None, templates: frozenset[int] | set[int] = frozens
             elif n.tag in ("td", "th"):
                 line.append(" ")
     flush()
-    return "\n".join(lines)
+    return "\n".join(lines), deleted
 
 
 def _titles(header: Node, out: set[int]) -> Node:
@@ -299,46 +400,51 @@ def host_of(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def template_hashes(pages: DataFrame, html: str = "html", url: str = "url", share: float = 0.1, least: int = 3) -> DataFrame:
+def template_hashes(pages: DataFrame, html: str = "html", url: str = "url", share: float = 0.1, least: int = 3, many: int = 100) -> DataFrame:
     """(host, hash): subtrees on at least ``least`` pages of a host with different articles,
-    and on at least ``share`` of these. Pages without a host have no templates."""
+    and on at least ``share`` of these; outside marked articles ``many`` pages are enough.
+    Pages without a host have no templates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda x: np.array(x, np.uint64).view(np.int64)
         for batch in batches:
             found = [frame(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array([x[0] for x in found], np.uint64).view(np.int64)), pa.array([np.array(x[1], np.uint64).view(np.int64) for x in found], pa.list_(pa.int64()))],
-                ["host", "content", "hashes"],
-            )
+            lists = [pa.array([signed(x[i]) for x in found], pa.list_(pa.int64())) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed([x[0] for x in found])), *lists], ["host", "content", "outer", "inner"])
 
-    seen = pages.select(host_of(url).alias("host"), F.col(html).cast("string").alias("html")).where("host <> '' and html is not null").mapInArrow(run, "host string, content long, hashes array<long>")
-    different = seen.groupBy("host", "content").agg(F.min("hashes").alias("hashes"))
-    # -1 in every list counts the host's pages on the way
-    each = different.select("host", F.explode(F.concat(F.transform("hashes", lambda x: F.struct(x.alias("hash"), F.lit(False).alias("all"))), F.array(F.struct(F.lit(0).cast("long").alias("hash"), F.lit(True).alias("all"))))).alias("x"))
-    n = each.groupBy("host", "x.hash", "x.all").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    total = n.where("all").select(F.col("host").alias("h"), F.col("n").alias("pages"))
-    return n.where("not all").join(total, F.col("host") == F.col("h")).where(F.col("n") >= share * F.col("pages")).select("host", "hash")
+    seen = pages.select(host_of(url).alias("host"), F.col(html).cast("string").alias("html")).where("host <> '' and html is not null").mapInArrow(run, "host string, content long, outer array<long>, inner array<long>")
+    different = seen.groupBy("host", "content").agg(F.min(F.struct("outer", "inner")).alias("x")).select("host", "x.*")
+    # kind 2 counts the host's pages on the way
+    of = lambda kind, hashes: F.transform(hashes, lambda x: F.struct(x.alias("hash"), F.lit(kind).alias("kind")))
+    each = different.select("host", F.explode(F.concat(of(0, F.col("outer")), of(1, F.col("inner")), F.array(F.struct(F.lit(0).cast("long").alias("hash"), F.lit(2).alias("kind"))))).alias("x"))
+    n = each.groupBy("host", "x.hash", "x.kind").agg(F.count("*").alias("n"))
+    n = n.where(F.col("n") >= least)
+    total = n.where("kind = 2").select(F.col("host").alias("h"), F.col("n").alias("pages"))
+    often = (F.col("n") >= share * F.col("pages")) | (F.col("kind") == 0) & (F.col("n") >= many)
+    return n.where("kind < 2").join(total, F.col("host") == F.col("h")).where(often).select("host", "hash").distinct()
 
 
 def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ("page_id", "url"), share: float = 0.1, least: int = 3, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
-    """Kept columns with text, the article of the whole page in blocks, and n_chars, its code
-    points.
+    """Kept columns with text, the article of the whole page in blocks, n_chars, its code
+    points, and n_templates, the recurring subtrees deleted from the page.
 
     A null or empty html has an empty text. A page with a null url, or one without a host,
     loses no templates. White space inside a block becomes one space; blocks are joined by
     \\n; nothing else is dropped or capped. Repeated rows get equal results; other columns are
-    ignored; an empty table gives an empty result."""
+    ignored, and so are kept ones named like a result; an empty table gives an empty result."""
     spark = pages.sparkSession
     _spark.ship(spark)
     scratch = _spark.Scratch(spark)
     templates = scratch.put(template_hashes(pages, html, url, share, least), "templates")
-    kept = pages.select(*keep, host_of(url).alias("_host"), F.col(html).cast("string").alias("_html"))
+    rows, names, out = _spark.carried(pages, keep, "text string, n_chars long, n_templates long", host=host_of(url), html=F.col(html).cast("string"))
+    last = len(names)
 
     def extracted(batch: pa.RecordBatch, sets: list) -> pa.RecordBatch:
-        texts = [main_text(x, s) for x, s in zip(batch.column("_html").to_pylist(), sets)]
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], [*keep, "text", "n_chars"])
+        found = [extract(x, s) for x, s in zip(batch.column(last + 1).to_pylist(), sets)]
+        texts = [x[0] for x in found]
+        columns = [pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array([x[1] for x in found], pa.int64())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:last], *columns], out.names)
 
-    out = _spark.fields(kept, keep, "text string, n_chars long")
     size = templates.count()
     if size <= broadcast_hashes:
         found: dict[str, set[int]] = {}
@@ -349,14 +455,14 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", keep:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield extracted(batch, [shared.value.get(x, none) for x in batch.column("_host").to_pylist()])
+                yield extracted(batch, [shared.value.get(x, none) for x in batch.column(last).to_pylist()])
 
-        return kept.mapInArrow(run, out)
+        return rows.mapInArrow(run, out)
 
     salts = 64  # of a host's pages, so that a host with a third of all pages is no single task
     sets = templates.groupBy("host").agg(F.collect_list("hash").alias("_set")).select(F.col("host").alias("_h"), "_set", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_s"))
-    salted = kept.withColumn("_salt", F.pmod(F.xxhash64("_html"), F.lit(salts)).cast("int"))
-    joined = salted.join(sets, (salted["_host"] == sets["_h"]) & (salted["_salt"] == sets["_s"]), "left").select(*kept.columns, "_set")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(_spark.made("html")), F.lit(salts)).cast("int"))
+    joined = salted.join(sets, (F.col(_spark.made("host")) == sets["_h"]) & (salted["_salt"] == sets["_s"]), "left").select(*rows.columns, "_set")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

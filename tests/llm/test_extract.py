@@ -1,7 +1,9 @@
 import html
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm.extract import extract_pages, frame, main_text, template_hashes
 
@@ -93,7 +95,38 @@ def test_copies_are_no_template(spark):
     pages = spark.createDataFrame([(i, f"http://a.org/{i}", page) for i in range(8)], SCHEMA)
     assert template_hashes(pages).count() == 0
     assert {r.text for r in extract_pages(pages).collect()} == {"the same long text on all pages"}
-    assert frame(None)[1] == []
+    assert frame(None)[1:] == ([], [])
+
+
+def test_recurrence_decides_inside_articles(spark):
+    """Frames without telling names, inside main and article; prose of the article stays."""
+    box = "<div class=zz><p>Join 40,000 readers</p><p>today</p></div>"
+    page = "<main><div class=k1><p>You are here</p></div><article><h1>T {0}</h1><p>own {0}</p>" + box + "<ul><li>shared point</ul><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><p>end {0}</p></article></main>"
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", page.format(i)) for i in range(6)], SCHEMA)
+    assert {(r.text, r.n_templates) for r in extract_pages(pages).collect()} == {(f"T {i}\nown {i}\nshared point\nend {i}", 3) for i in range(6)}
+    once = extract_pages(pages.limit(1)).collect()[0]
+    assert "Join 40,000 readers" in once.text and once.n_templates == 0
+
+
+def test_templates_delete_on_the_whole_table(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    assert extract_pages(pages).agg({"n_templates": "sum"}).first()[0] > 0
+
+
+def test_a_class_word_alone_does_not_decide():
+    page = "<article><h1>T</h1><div class='related-work'><p>Earlier work</p></div><div class='related-posts'>more</div><div class='related-stuff'><a>x</a></div></article>"
+    assert main_text(page) == "T\nEarlier work"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<", "</a", "<a b='", "<!-", "<p><button><div>", '<a ">" ', "<li><div>", "&#1"])
+def test_time_is_linear(piece):
+    start = time.time()
+    main_text(piece * (300_000 // len(piece)))
+    assert time.time() - start < 10
+
+
+def test_long_references():
+    assert main_text("<p>a&#" + "1" * 10_000 + ";b") == "a\ufffdb"
 
 
 def test_repeated_paragraphs_of_articles_stay(spark):
@@ -104,6 +137,8 @@ def test_repeated_paragraphs_of_articles_stay(spark):
 def test_odd_rows(spark):
     rows = [(1, None, None), (None, "http://a.org/", "<p>x"), (2, "no url", "<p>y"), (2, "no url", "<p>y"), (3, "", ""), (4, "http://a.org", "<p>" + "long " * 50_000)]
     frame_ = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA + ", text string")
+    for keep in (("page_id", "text"), ("page_id", "url", "html")):
+        assert len(extract_pages(frame_.withColumn("made_host", F.lit(1)), keep=keep).collect()) == len(rows)
     got = extract_pages(frame_).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 1), (1, 0), (2, 1), (2, 1), (3, 0), (4, 249_999)]
     assert extract_pages(frame_.limit(0)).collect() == []
