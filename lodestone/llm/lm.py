@@ -1,42 +1,54 @@
-"""Language-model scoring with an Elias-Fano n-gram trie.
-
-Tokens are the lower-cased words of a text and one end. The corpus is cut into segments; a
-segment sends its distinct words and bigrams, with their counts in training documents, as
-sorted runs to hash buckets. A bucket sums the runs, and answers each of them:
-
-* words: exact counts, from which the base score and the lower order come;
-* bigrams: the bucket builds its shard of the trie, and looks up each run's bigrams in it.
-
-A trie shard has two levels. The first holds the contexts of the shard, sorted; the second
-the successors of each context, sorted within it. Contexts, pointers and successors are
-monotone sequences in Elias-Fano form; a bigram is found by a successor search inside its
-context's range. Numerators of the smoothed probabilities are quantised to a code book of
-4,096 levels, exact for small counts. The levels are flat arrays that are used from a memory
-map, of memory alone inside a task, or of a file that was saved.
-
-p(w | v) = share * c(v w) / c(v) + (1 - share) * (c(w) + 1) / (N + V + 1); after an unknown
-context it is the lower order alone. This sums to one, and needs nothing but counts, so that
-shards are cut by (v, w): a very frequent context is spread over all of them.
+"""Language-model scoring with an Elias-Fano n-gram trie of order 3.
+
+Tokens are the lower-cased words of a text and one end. The model is interpolated with
+Dirichlet back-off weights:
+
+    p(w)         = (c(w) + 1) / (N + V + 1)
+    p(w | v)     = (c(v w) + k2 p(w)) / (c(v) + k2)
+    p(w | u v)   = (c(u v w) + k3 p(w | v)) / (c(u v) + k3)
+
+where a context that training lacks leaves all to the lower order, and one of two words that
+occurs fewer than ``min_context`` times is pruned. Every text follows an end. All orders sum
+to one.
+
+A trie shard holds whole contexts: its levels are the last word of a context, the word before
+that (for two words), and the successors of the context. Levels and pointers between them are
+monotone sequences in Elias-Fano form; an n-gram is found by a successor search inside its
+context's range on each level. Beside the last level lie the quantised log probabilities
+c / (T + k) of the n-grams, beside the one above the quantised back-off weights k / (T + k),
+T being the context's count. The levels are flat arrays that are used from a memory map, of
+memory alone inside a task, or of a file that was saved.
+
+The corpus is cut into segments. In three exchanges, a segment sends its distinct words, pairs
+and triples with their counts in training documents, as sorted runs to hash buckets, and each
+bucket answers each of its runs:
+
+* words: exact counts and dense numbers, in which the other runs are written;
+* pairs and triples: the bucket sums the runs, builds its shard of the trie, and looks up each
+  run's n-grams in it.
+
+A bucket is chosen by the context. How often a context occurs is known to all segments from
+the exchange before; one with more than a bucket's fair share is cut by its successors into
+as many parts as it has shares, and its count travels along.
 """
 
 from __future__ import annotations
 
 import mmap
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _segments, _spark, _text
 
 _U = np.uint64
-#: Fingerprint of the end of a text, and of its start as a context.
+#: Fingerprint of the end of a text, which is the context of the first word too.
 END = _text.mix(np.array([0xE4D0], _U))[0]
-START = _text.mix(np.array([0x57A7], _U))[0]
-_CODES = 4096
+_CODES = 1 << 16
 
 
 #: Position of the k-th one in a byte.
@@ -100,60 +112,85 @@ class EliasFano:
         return lo
 
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    """Codes of positive counts: exact up to 2,047, logarithmic above (0.5 % steps)."""
-    c = counts.astype(np.float64)
-    return np.where(c < 2048, c, np.minimum(2048 + np.log(np.maximum(c, 2048) / 2048) / np.log1p(0.01), _CODES - 1)).astype(np.uint16)
+_STEP = 16 / (_CODES - 2)
+
+
+def quantise(p: np.ndarray) -> np.ndarray:
+    """Codes, from 1 up, of probabilities by their logarithm, in steps of 0.06 %; 0 of zero."""
+    with np.errstate(divide="ignore"):
+        code = np.round(-np.log10(p) / _STEP) + 1
+    return np.where(p > 0, np.clip(code, 1, _CODES - 1), 0).astype(np.uint16)
 
 
 def dequantise(codes: np.ndarray) -> np.ndarray:
-    q = codes.astype(np.float64)
-    return np.where(q < 2048, q, 2048 * np.exp((q + 0.5 - 2048) * np.log1p(0.01)))
+    return np.where(codes > 0, 10.0 ** (-(codes.astype(np.float64) - 1) * _STEP), 0.0)
+
+
+def _new(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """For each level, which rows of sorted columns begin another prefix."""
+    out, changed = [], np.zeros(len(columns[0]), bool)
+    for c in columns:
+        changed = changed.copy()
+        changed[:1] = True
+        changed[1:] |= c[1:] != c[:-1]
+        out.append(changed)
+    return out
 
 
 class Trie:
-    """A shard over sorted 64-bit bigram keys (see pair_keys) and their counts: contexts are
-    the upper halves, successors the lower ones."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        context = keys >> _U(32)
-        first = np.ones(len(keys), bool)
-        first[1:] = context[1:] != context[:-1]
-        begins = np.flatnonzero(first)
-        self.contexts = EliasFano(context[begins], 1 << 32)
-        self.pointers = EliasFano(np.append(begins, len(keys)), len(keys) + 1)
-        # the k-th context's successors are lifted by k times 2**32, which makes one sequence
-        lifted = (keys & _U(0xFFFFFFFF)) + ((np.cumsum(first) - 1).astype(_U) << _U(32))
-        self.successors = EliasFano(lifted, max(len(begins), 1) << 32)
-        self.codes = quantise(counts)
-
-    def lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Codes of bigrams: a successor search for the context, then one inside the range of
-        its successors; 0 for those not there."""
-        out = np.zeros(len(keys), np.uint16)
-        if not self.contexts.n or not len(keys):
-            return out
-        wanted, which = np.unique(keys >> _U(32), return_inverse=True)
-        n = self.contexts.n
-        k = self.contexts.successor(wanted, np.zeros(len(wanted)), np.full(len(wanted), n))
-        there = k < n
-        there[there] = self.contexts.get(k[there]) == wanted[there]
-        known = np.flatnonzero(there[which])
-        k = k[which[known]]
-        want = (k.astype(_U) << _U(32)) + (keys[known] & _U(0xFFFFFFFF))
-        lo, hi = self.pointers.get(k), self.pointers.get(k + 1)
-        i = self.successors.successor(want, lo, hi)
-        inside = np.flatnonzero(i < hi.astype(np.int64))
-        hit = inside[self.successors.get(i[inside]) == want[inside]]
-        out[known[hit]] = self.codes[i[hit]]
-        return out
+    """A shard over distinct n-grams in columns (last word of the context first, the successor
+    last), in lexical order, with the codes of their log probabilities and of the back-off
+    weights of their contexts."""
+
+    def __init__(self, columns: list[np.ndarray], codes: np.ndarray, backoff: np.ndarray):
+        self.levels, self.pointers = [], []
+        new = _new(columns)
+        parents = np.zeros(len(columns[0]), np.int64)
+        for j, c in enumerate(columns):
+            at = np.flatnonzero(new[j])
+            # the successors of the k-th prefix are lifted by k times 2**32: one sequence
+            lifted = c[at].astype(_U) + (parents[at].astype(_U) << _U(32))
+            self.levels.append(EliasFano(lifted, (int(parents[-1]) + 1 if len(c) else 1) << 32))
+            if j:
+                first = np.flatnonzero(new[j - 1][at])
+                self.pointers.append(EliasFano(np.append(first, len(at)), len(at) + 1))
+            parents = np.cumsum(new[j]) - 1
+        self.codes, self.backoff = codes, backoff
+
+    def find(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of n-grams on the last level, and of their contexts on the one above; -1 for
+        those not there."""
+        n = len(columns[0])
+        lo, hi = np.zeros(n, np.int64), np.full(n, self.levels[0].n, np.int64)
+        parent, context = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+        alive = np.arange(n)
+        for j, c in enumerate(columns):
+            want = c[alive].astype(_U) + (parent.astype(_U) << _U(32))
+            i = self.levels[j].successor(want, lo, hi)
+            hit = np.flatnonzero(i < hi)
+            hit = hit[self.levels[j].get(i[hit]) == want[hit]]
+            alive, parent = alive[hit], i[hit]
+            if j < len(self.pointers):
+                lo, hi = (self.pointers[j].get(parent + d).astype(np.int64) for d in (0, 1))
+            if j == len(columns) - 2:
+                context[alive] = parent
+        out = np.full(n, -1, np.int64)
+        out[alive] = parent
+        return out, context
+
+    def lookup(self, columns: list[np.ndarray]) -> np.ndarray:
+        """Codes of n-grams; 0 for those not there."""
+        if not len(self.codes) or not len(columns[0]):
+            return np.zeros(len(columns[0]), np.uint16)
+        at, _ = self.find(columns)
+        return np.where(at >= 0, self.codes[at], 0).astype(np.uint16)
 
     def _bytes(self) -> bytes:
-        parts = []
-        for ef in (self.contexts, self.pointers, self.successors):
+        parts = [np.array([len(self.levels)], np.int64)]
+        for ef in (*self.levels, *self.pointers):
             parts += [np.array([ef.n, ef.low_bits], np.int64), ef.low, ef.high]
-        parts.append(self.codes)
-        head = np.array([x.nbytes for x in parts], np.int64)
+        parts += [self.codes, self.backoff]
+        head = np.array([len(parts), *(x.nbytes for x in parts)], np.int64)
         return head.tobytes() + b"".join(x.tobytes() for x in parts)
 
     def save(self, path: str) -> None:
@@ -161,16 +198,18 @@ class Trie:
 
     @classmethod
     def _over(cls, m: mmap.mmap) -> "Trie":
-        sizes = np.frombuffer(m, np.int64, 10)
-        at = np.append(80, 80 + np.cumsum(sizes))
-        part = [np.frombuffer(m, np.uint8, int(s), int(a)) for s, a in zip(sizes, at)]
-        out = cls.__new__(cls)
+        k = int(np.frombuffer(m, np.int64, 1)[0])
+        sizes = np.frombuffer(m, np.int64, k, 8)
+        at = 8 * (k + 1) + np.append(0, np.cumsum(sizes))
+        part = [np.frombuffer(m, np.uint8, int(n), int(a)) for n, a in zip(sizes, at)]
         ef = []
-        for i in (0, 3, 6):
+        for i in range(1, k - 2, 3):
             n, low_bits = np.frombuffer(part[i].tobytes(), np.int64)
             ef.append(EliasFano.from_parts(int(n), int(low_bits), part[i + 1], part[i + 2]))
-        out.contexts, out.pointers, out.successors = ef
-        out.codes = np.frombuffer(part[9].tobytes(), np.uint16)
+        out = cls.__new__(cls)
+        levels = int(np.frombuffer(part[0].tobytes(), np.int64)[0])
+        out.levels, out.pointers = ef[:levels], ef[levels:]
+        out.codes, out.backoff = (np.frombuffer(x.tobytes(), np.uint16) for x in part[-2:])
         return out
 
     def mapped(self) -> "Trie":
@@ -187,29 +226,44 @@ class Trie:
             return cls._over(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
-def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of all tokens, of each token's context, and the number of tokens of each
-    text of a segment."""
-    words, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-    for chunk in table.column("text").chunks:
-        for a, b in _text.slices(chunk):
-            w = _text.Words(chunk.slice(a, b - a))
-            words.append(np.insert(w.hashes(lower=True), w.of[1:], END))
-            counts.append(w.count + 1)
-    word, count = np.concatenate(words), np.concatenate(counts)
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[np.append(0, np.cumsum(count)[:-1])[: len(count)]] = START
-    return word, context, count
+def _narrow(values: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes each as the largest needs."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """12 bits of both, that spread a context over shards, 20 of the context, 32 of the word."""
-    salt = _text.mix(context * _U(0xD6E8FEB86659FD93) ^ word)
-    return (salt & _U(0xFFF << 52)) | (context >> _U(44) << _U(32)) | (word >> _U(32))
+def _wide(blob: bytes) -> np.ndarray:
+    width = blob[0]
+    out = np.zeros(((len(blob) - 1) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, width)
+    return out.view("<u8").ravel().astype(_U)
 
 
-RUN = "kind int, bucket int, seg int, keys binary, counts binary"
+def pack_columns(columns: list[np.ndarray]) -> bytes:
+    """Sorted distinct n-grams: each level's values once for each prefix, and bits that say
+    where prefixes begin on the level below."""
+    new = _new(columns)
+    parts = []
+    for j, c in enumerate(columns):
+        at = np.flatnonzero(new[j])
+        values = c[at].astype(_U)
+        parts.append(_narrow(np.diff(values, prepend=_U(0)) if j == 0 else values))
+        if j:
+            parts.append(np.packbits(new[j - 1][at]).tobytes())
+    return np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
+
+
+def unpack_columns(blob: bytes) -> list[np.ndarray]:
+    k = int(np.frombuffer(blob, np.int64, 1)[0])
+    sizes = np.frombuffer(blob, np.int64, k, 8)
+    at = 8 * (k + 1) + np.append(0, np.cumsum(sizes))
+    parts = [blob[a:b] for a, b in zip(at[:-1], at[1:])]
+    columns = [np.cumsum(_wide(parts[0]), dtype=_U)]
+    for values, bits in zip(parts[1::2], parts[2::2]):
+        values = _wide(values)
+        parent = np.cumsum(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(values))) - 1
+        columns = [c[parent] for c in columns] + [values]
+    return columns
 
 
 def _pack_counts(c: np.ndarray) -> bytes:
@@ -227,127 +281,245 @@ def _unpack_counts(blob: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _training(table: pa.Table) -> np.ndarray:
-    return np.array(table.column("train").to_pylist(), bool)
+#: Sorted n-grams of a segment for a bucket, their training counts, and (context, count) of
+#: contexts that are cut into parts.
+RUN = "kind int, bucket int, seg int, keys binary, counts binary, cut binary"
+_RUN = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("seg", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("cut", pa.binary())])
+ANSWER = "seg int, kind int, bucket int, values binary, numbers binary, n long, v long"
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What all steps have to agree on."""
+
+    buckets: int
+    k2: float
+    k3: float
+    min_context: int
+    tokens: int = 0
+    vocabulary: int = 0
+
+    def parts(self, total: np.ndarray) -> np.ndarray:
+        """Into how many parts a context of this count is cut."""
+        return np.maximum(1, np.ceil(2 * total * self.buckets / max(self.tokens, 1))).astype(np.int64)
+
+    def bucket(self, context: np.ndarray, word: np.ndarray, total: np.ndarray) -> np.ndarray:
+        part = word.astype(np.int64) % self.parts(total)
+        return (_text.mix(context * _U(0x9FB21C651E98DF25) + part.astype(_U)) >> _U(33)).astype(np.int64) % self.buckets
+
+
+class Segment:
+    """A segment's tokens, and their n-grams as far as answers are there."""
+
+    def __init__(self, table: pa.Table, shape: Shape):
+        self.shape, self.seg = shape, table.column("seg")[0].as_py() if table.num_rows else 0
+        words, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+        for chunk in table.column("text").chunks:
+            for a, b in _text.slices(chunk):
+                w = _text.Words(chunk.slice(a, b - a))
+                words.append(np.insert(w.hashes(lower=True), w.of[1:], END))
+                counts.append(w.count + 1)
+        self.count = np.concatenate(counts)
+        self.training = np.array(table.column("train").to_pylist(), bool)
+        self.offsets = np.append(0, np.cumsum(self.count))
+        self.train = np.repeat(self.training, self.count)
+        self.words, self.place = np.unique(np.concatenate(words), return_inverse=True)
+
+    def word_run(self) -> list[dict]:
+        cuts = _segments.bucket_cuts(self.words, self.shape.buckets)
+        n = np.bincount(self.place[self.train], minlength=len(self.words))
+        return [
+            {"kind": 1, "bucket": int(b), "seg": self.seg, "keys": _segments.pack_keys(self.words[cuts[b] : cuts[b + 1]]), "counts": _pack_counts(n[cuts[b] : cuts[b + 1]]), "cut": b""}
+            for b in np.flatnonzero(np.diff(cuts))
+        ]
+
+    def take(self, answers: list[tuple[int, int, bytes, bytes]]) -> None:
+        """Takes (kind, bucket, values, numbers) in, as far as there are any."""
+        cuts = _segments.bucket_cuts(self.words, self.shape.buckets)
+        c, number = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), _U)
+        for _, b, values, numbers in (x for x in answers if x[0] == 1):
+            part = slice(cuts[b], cuts[b + 1])
+            c[part] = _unpack_counts(values, int(cuts[b + 1] - cuts[b]))
+            number[part] = np.cumsum(_wide(numbers), dtype=_U) * _U(self.shape.buckets) + _U(b)
+        c, number = c[self.place], number[self.place].astype(np.uint32)
+        self.c = c
+        del self.place, self.words
+        self.first = self.offsets[:-1]
+        end = c[-1] if len(c) else 0
+        before = np.empty_like(number)  # each text follows an end
+        before[1:], before[:1] = number[:-1], number[-1:]
+        self.total = np.empty_like(c)
+        self.total[1:], self.total[:1] = c[:-1], end
+        pairs = np.flatnonzero((c > 0) & (self.total > 0))
+        self.pairs = self._level(2, pairs, [before, number], before[pairs].astype(_U), self.total[pairs])
+        if not any(x[0] == 2 for x in answers):
+            return
+        self.two = self._codes(self.pairs, answers, 2)
+        seen = np.round(dequantise(self.two) * (self.total + self.shape.k2)).astype(np.int64)
+        self.context = np.zeros_like(seen)
+        self.context[1:] = seen[:-1]
+        self.context[self.first] = 0
+        self.context[self.context < self.shape.min_context] = 0
+        earlier = np.zeros_like(before)
+        earlier[1:] = before[:-1]
+        triples = np.flatnonzero((self.two > 0) & (self.context > 0))
+        both = _text.mix((before[triples].astype(_U) << _U(32)) | earlier[triples])
+        self.triples = self._level(3, triples, [before, earlier, number], both, self.context[triples])
+        self.three = self._codes(self.triples, answers, 3)
+
+    def _level(self, kind: int, at: np.ndarray, columns: list[np.ndarray], context: np.ndarray, total: np.ndarray) -> tuple:
+        """Distinct n-grams of the tokens ``at`` in the order of buckets, and what they come from."""
+        rank = np.zeros(len(at), np.int64)
+        if kind == 3:
+            _, rank = np.unique((columns[0][at].astype(_U) << _U(32)) | columns[1][at], return_inverse=True)
+        else:
+            rank = columns[0][at].astype(np.int64)
+        key, one, place = np.unique((rank.astype(_U) << _U(32)) | columns[-1][at], return_index=True, return_inverse=True)
+        bucket = self.shape.bucket(context[one], columns[-1][at[one]], total[one])
+        order = np.argsort(bucket.astype(np.uint16 if self.shape.buckets <= 1 << 16 else np.int64), kind="stable")
+        return kind, at, one, place, order, np.searchsorted(bucket[order], np.arange(self.shape.buckets + 1)), columns, total
+
+    def run(self, level: tuple) -> list[dict]:
+        kind, at, one, place, order, cuts, columns, total = level
+        n = np.bincount(place[self.train[at]], minlength=len(one))
+        out = []
+        for b in np.flatnonzero(np.diff(cuts)):
+            mine = order[cuts[b] : cuts[b + 1]]
+            cols = [c[at[one[mine]]] for c in columns]
+            parts = np.flatnonzero(self.shape.parts(total[one[mine]]) > 1)
+            cut = np.stack([*(c[parts].astype(np.int64) for c in cols[:-1]), total[one[mine[parts]]]])
+            cut = np.unique(cut, axis=1).tobytes() if len(parts) else b""
+            out.append({"kind": kind, "bucket": int(b), "seg": self.seg, "keys": pack_columns(cols), "counts": _pack_counts(n[mine]), "cut": cut})
+        return out
 
+    def _codes(self, level: tuple, answers: list[tuple[int, int, bytes, bytes]], kind: int) -> np.ndarray:
+        """The code of each token's n-gram; 0 where there is none."""
+        _, at, one, place, order, cuts, _, _ = level
+        value = np.zeros(len(one), np.uint16)
+        for _, b, values, _ in (x for x in answers if x[0] == kind):
+            value[order[cuts[b] : cuts[b + 1]]] = np.frombuffer(values, np.uint16)
+        out = np.zeros(len(self.c), np.uint16)
+        out[at] = value[place]
+        return out
 
-_RUN = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("seg", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+    def probabilities(self) -> tuple[np.ndarray, np.ndarray]:
+        """p(w), and p of every token under the whole model."""
+        s = self.shape
+        low = (self.c + 1) / (s.tokens + s.vocabulary + 1)
+        p = low
+        for kind, codes, total, k in ((2, "two", self.total, s.k2), (3, "three", None, s.k3)):
+            if hasattr(self, codes):
+                total = self.context if kind == 3 else total
+                p = np.where(total > 0, dequantise(getattr(self, codes)) + k / (total + k) * p, p)
+        return low, p
 
 
-def _rows(kind: int, seg: int, keys: np.ndarray, n: np.ndarray, buckets: int) -> list[dict]:
-    cuts = _segments.bucket_cuts(keys, buckets)
-    return [
-        {"kind": kind, "bucket": int(b), "seg": seg, "keys": _segments.pack_keys(keys[cuts[b] : cuts[b + 1]]), "counts": _pack_counts(n[cuts[b] : cuts[b + 1]])}
-        for b in np.flatnonzero(np.diff(cuts))
-    ]
+def _answers(table: pa.Table) -> list[tuple[int, int, bytes, bytes]]:
+    return list(zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "values", "numbers"))))
 
 
-def _send(buckets: int):
-    def send(table: pa.Table) -> pa.Table:
-        word, context, count = _tokens(table)
-        train = np.repeat(_training(table), count)
-        seg = table.column("seg")[0].as_py()
-        rows = []
-        for kind in (0, 1):
-            keys, place = np.unique(pair_keys(context, word) if kind else word, return_inverse=True)
-            rows += _rows(kind, seg, keys, np.bincount(place[train], minlength=len(keys)), buckets)
-        return pa.Table.from_pylist(rows, _RUN)
+def _send_words(shape: Shape):
+    return lambda table: pa.Table.from_pylist(Segment(table, shape).word_run(), _RUN)
 
-    return send
 
+def _send(kind: int, shape: Shape):
+    def send(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.Table.from_pylist([], _RUN)
+        segment = Segment(table, shape)
+        segment.take(_answers(answers))
+        level = segment.pairs if kind == 2 else getattr(segment, "triples", None)
+        return pa.Table.from_pylist(segment.run(level) if level else [], _RUN)
 
-def _load(table: pa.Table) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
-    keys = [_segments.unpack_keys(x) for x in table.column("keys").to_pylist()]
-    counts = [_unpack_counts(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), keys)]
-    return table.column("seg").to_pylist(), [len(k) for k in keys], np.concatenate(keys), np.concatenate(counts)
+    return send
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    segs, lengths, key, count = _load(table)
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    keys, place = np.unique(key, return_inverse=True)
-    total = np.bincount(place, count, minlength=len(keys)).astype(np.int64)
-    if kind:
-        values = Trie(keys[total > 0], total[total > 0]).mapped().lookup(keys)[place]
-    else:
-        values = total[place]
-    at = np.append(0, np.cumsum(lengths))
-    blobs = [values[a:b].tobytes() if kind else _pack_counts(values[a:b]) for a, b in zip(at[:-1], at[1:])]
-    return pa.table({"seg": pa.array(segs, pa.int32()), "kind": pa.array([kind] * len(segs), pa.int32()), "bucket": pa.array([bucket] * len(segs), pa.int32()), "values": pa.array(blobs, pa.binary())})
+def _answer_words(table: pa.Table) -> pa.Table:
+    keys = [_segments.unpack_keys(x) for x in table.column("keys").to_pylist()]
+    counts = np.concatenate([_unpack_counts(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), keys)])
+    word, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, counts, minlength=len(word)).astype(np.int64)
+    at = np.append(0, np.cumsum([len(k) for k in keys]))
+    out = []
+    for i, (seg, bucket) in enumerate(zip(table.column("seg").to_pylist(), table.column("bucket").to_pylist())):
+        mine = place[at[i] : at[i + 1]]  # sorted, as the run is
+        out.append({"seg": seg, "kind": 1, "bucket": bucket, "values": _pack_counts(total[mine]), "numbers": _narrow(np.diff(mine, prepend=0)), "n": int(total.sum()), "v": int((total > 0).sum())})
+    return pa.Table.from_pylist(out, _ANSWER)
+
+
+_ANSWER = pa.schema([("seg", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("values", pa.binary()), ("numbers", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+
+
+def build_shard(columns: list[np.ndarray], counts: np.ndarray, k: float, cut: list[np.ndarray]) -> Trie:
+    """The trie of distinct, sorted n-grams with their counts; ``cut`` gives (context, count)
+    of contexts that have successors in other shards too."""
+    some = np.flatnonzero(counts)
+    columns, counts = [c[some] for c in columns], counts[some]
+    if not len(some):
+        return Trie([np.zeros(0, _U)] * len(columns), np.zeros(0, np.uint16), np.zeros(0, np.uint16))
+    begins = _new(columns)[-2]
+    context = np.cumsum(begins) - 1
+    total = np.bincount(context, counts)
+    known = {tuple(x[:-1]): x[-1] for part in cut for x in part.T.tolist()}
+    if known:
+        for i, row in enumerate(zip(*(c[np.flatnonzero(begins)].tolist() for c in columns[:-1]))):
+            total[i] = known.get(row, total[i])
+    return Trie(columns, quantise(counts / (total[context] + k)), quantise(k / (total + k)))
+
+
+def _answer(shape: Shape):
+    def answer(table: pa.Table) -> pa.Table:
+        kind = table.column("kind")[0].as_py()
+        runs = [unpack_columns(x) for x in table.column("keys").to_pylist()]
+        lengths = [len(r[0]) for r in runs]
+        columns = [np.concatenate(c) for c in zip(*runs)]
+        counts = np.concatenate([_unpack_counts(x, n) for x, n in zip(table.column("counts").to_pylist(), lengths)])
+        cut = [np.frombuffer(x, np.int64).reshape(kind, -1) for x in table.column("cut").to_pylist() if x]
+        rank = columns[0]
+        if kind == 3:
+            _, rank = np.unique((columns[0] << _U(32)) | columns[1], return_inverse=True)
+        _, one, place = np.unique((rank.astype(_U) << _U(32)) | columns[-1], return_index=True, return_inverse=True)
+        distinct = [c[one] for c in columns]
+        total = np.bincount(place, counts, minlength=len(one)).astype(np.int64)
+        trie = build_shard(distinct, total, shape.k2 if kind == 2 else shape.k3, cut).mapped()
+        values = trie.lookup(distinct)[place]
+        at = np.append(0, np.cumsum(lengths))
+        rows = [
+            {"seg": seg, "kind": kind, "bucket": bucket, "values": values[a:b].tobytes(), "numbers": b"", "n": 0, "v": 0}
+            for seg, bucket, a, b in zip(table.column("seg").to_pylist(), table.column("bucket").to_pylist(), at[:-1], at[1:])
+        ]
+        return pa.Table.from_pylist(rows, _ANSWER)
+
+    return answer
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(buckets: int, tokens: int, vocabulary: int, share: float):
+def _score(shape: Shape):
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        word, context, count = _tokens(table)
-        got = []
-        for kind in (0, 1):
-            keys, place = np.unique(pair_keys(context, word) if kind else word, return_inverse=True)
-            cuts = _segments.bucket_cuts(keys, buckets)
-            value = np.zeros(len(keys), np.float64)
-            for k, b, blob in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "values"))):
-                if k == kind:
-                    value[cuts[b] : cuts[b + 1]] = dequantise(np.frombuffer(blob, np.uint16)) if kind else _unpack_counts(blob, int(cuts[b + 1] - cuts[b]))
-            got.append(value[place])
-        c, both = got
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        offsets = np.append(0, np.cumsum(count))
-        before[offsets[:-1]] = c[-1] if len(c) else 0  # each text starts after an end; the last token is one
-        low = (c + 1) / (tokens + vocabulary + 1)
-        p = np.where(before > 0, share * both / np.maximum(before, 1) + (1 - share) * low, low)
-        n = len(count)
+        s = Segment(table, shape)
+        s.take(_answers(answers))
+        low, p = s.probabilities()
         return pa.table({
             "doc_id": table.column("doc_id"),
-            "held_out": pa.array(~_training(table)),
-            "n_tokens": pa.array(count.astype(np.int64)),
-            "n_known": pa.array(_text.per_text(c > 0, offsets)),
-            "train_tokens": pa.array(np.full(n, tokens, np.int64)),
-            "base_score": pa.array(_text.per_text(np.log10(low), offsets)),
-            "score": pa.array(_text.per_text(np.log10(p), offsets)),
+            "held_out": pa.array(~s.training),
+            "n_tokens": pa.array(s.count.astype(np.int64)),
+            "n_known": pa.array(_text.per_text(s.c > 0, s.offsets)),
+            "train_tokens": pa.array(np.full(len(s.count), shape.tokens, np.int64)),
+            "base_score": pa.array(_text.per_text(np.log10(low), s.offsets)),
+            "score": pa.array(_text.per_text(np.log10(p), s.offsets)),
         })
 
     return score
 
 
-def _vocabulary(plain: DataFrame, buckets: int) -> tuple[int, int]:
-    """Training tokens and distinct training words: distinct words of each task in sorted
-    runs, merged by bucket; only two sums reach the driver."""
-
-    def local(batches):
-        pending, held, seg = [], 0, TaskContext.get().partitionId()
-
-        def flush():
-            word = np.concatenate(pending)
-            keys, n = np.unique(word, return_counts=True)
-            for i in range(0, len(rows := _rows(0, seg, keys, n, buckets)), 64):
-                yield from pa.Table.from_pylist(rows[i : i + 64], _RUN).to_batches()
-
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            word, _, _ = _tokens(part)
-            pending.append(word)
-            held += len(word)
-            if held > 4_000_000:
-                yield from flush()
-                pending, held = [], 0
-        if held:
-            yield from flush()
-
-    def merge(table: pa.Table) -> pa.Table:
-        _, _, key, count = _load(table)
-        return pa.table({"n": pa.array([int(count.sum())], pa.int64()), "v": pa.array([len(np.unique(key))], pa.int64())})
-
-    runs = plain.where("train").select("text").mapInArrow(local, RUN)
-    row = runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    return int(row[0] or 0), int(row[1] or 0)
-
-
-def score_texts(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", share: float = 0.5) -> DataFrame:
+def score_texts(docs: DataFrame, train: Column, text: str = "text", doc_id: str = "doc_id", k2: float = 4.0, k3: float = 4.0, min_context: int = 4) -> DataFrame:
     """SCORES for every document, under the model of those for which ``train`` is true.
 
+    ``k2`` and ``k3`` are the weights of the lower orders; a context of two words needs
+    ``min_context`` occurrences to have successors of its own.
+
     A null text is empty: one token, the end. A null ``train`` counts as false. Documents
     without training data score by the uniform lower order. Repeated rows count as often as
     they occur; a null doc_id stays null. Empty tables give an empty result; other columns
@@ -355,10 +527,22 @@ def score_texts(docs: DataFrame, train: Column, text: str = "text", doc_id: str
     """
     spark = docs.sparkSession
     _spark.ship(spark)
+    scratch = _spark.Scratch(spark)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     n = _segments.segment_count(docs, text)
-    tokens, vocabulary = _vocabulary(plain, n)
+    shape = Shape(n, k2, k3, min_context)
     seg = plain.withColumn("seg", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(n)).cast("int")).repartition(n, "seg")
-    runs = seg.groupBy("seg").applyInArrow(_send(n), RUN)
-    answers = runs.repartition(n, "kind", "bucket").groupBy("kind", "bucket").applyInArrow(_answer, "seg int, kind int, bucket int, values binary")
-    return seg.groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(_score(n, tokens, vocabulary, share), SCORES)
+
+    def asked(runs: DataFrame, answer) -> DataFrame:
+        return runs.repartition(n, "bucket").groupBy("bucket").applyInArrow(answer, ANSWER)
+
+    answers = scratch.put(asked(seg.groupBy("seg").applyInArrow(_send_words(shape), RUN), _answer_words), "words")
+    # a bucket says its sums in each of its answers
+    row = answers.groupBy("bucket").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.sum("n"), F.sum("v")).first()
+    shape = Shape(n, k2, k3, min_context, int(row[0] or 0), int(row[1] or 0))
+    if shape.vocabulary >= 1 << 30:
+        raise ValueError("word numbers of 32 bits hold at most 2**30 training words")
+    for kind in (2, 3):
+        runs = seg.groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(_send(kind, shape), RUN)
+        answers = answers.union(scratch.put(asked(runs, _answer(shape)), f"grams-{kind}"))
+    return seg.groupBy("seg").cogroup(answers.groupBy("seg")).applyInArrow(_score(shape), SCORES)

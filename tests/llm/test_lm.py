@@ -14,23 +14,44 @@ def tokens(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [0]
 
 
-def brute(rows, train, share=0.5):
-    """(n_tokens, n_known, train tokens, base, score) of every row, by dictionaries."""
-    one, two = Counter(), Counter()
+def counted(rows, train):
+    one, two, three = Counter(), Counter(), Counter()
     for d, t in rows:
         if train(d):
             ts = tokens(t)
             one.update(ts)
             two.update(zip([0, *ts], ts))
+            three.update(zip([0, *ts], ts, ts[1:]))
+    return one, two, three
+
+
+def probability(one, two, three, u, v, w, k2=4.0, k3=4.0, least=4):
+    """p(w | u v) by dictionaries; u is None for the first token of a text."""
+    p = (one[w] + 1) / (sum(one.values()) + len(one) + 1)
+    if one[v]:
+        p = (two[v, w] + k2 * p) / (one[v] + k2)
+    if u is not None and two[u, v] >= least:
+        p = (three[u, v, w] + k3 * p) / (two[u, v] + k3)
+    return p
+
+
+def brute(rows, train):
+    """(n_tokens, n_known, train tokens, base, score) of every row, by dictionaries."""
+    one, two, three = counted(rows, train)
     n, v = sum(one.values()), len(one)
+    low = {w: (c + 1) / (n + v + 1) for w, c in one.items()}
     out = []
     for d, t in rows:
         ts = tokens(t)
         base = score = 0.0
-        for a, b in zip([0, *ts], ts):
-            low = (one[b] + 1) / (n + v + 1)
-            base += math.log10(low)
-            score += math.log10(share * two[a, b] / one[a] + (1 - share) * low if one[a] else low)
+        for a, b, w in zip([None, 0, *ts], [0, *ts], ts):
+            p = low.get(w, 1 / (n + v + 1))
+            base += math.log10(p)
+            if one[b]:
+                p = (two[b, w] + 4 * p) / (one[b] + 4)
+            if a is not None and two[a, b] >= 4:
+                p = (three[a, b, w] + 4 * p) / (two[a, b] + 4)
+            score += math.log10(p)
         out.append((d, len(ts), sum(one[x] > 0 for x in ts), n, base, score))
     return out
 
@@ -83,21 +104,65 @@ def test_elias_fano_round_trip():
             assert np.array_equal(ef.successor(q, np.zeros(50), np.full(50, n)), np.searchsorted(v, q))
 
 
-def test_trie_finds_all_and_nothing_else(tmp_path):
-    rng = np.random.default_rng(1)
-    keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, 2000, dtype=np.uint64), (rng.integers(0, 9, 2000, dtype=np.uint64) << np.uint64(32)) | rng.integers(0, 1 << 32, 2000, dtype=np.uint64)]))
-    counts = rng.integers(1, 5000, len(keys))
-    trie = lm.Trie(keys, counts)
-    trie.save(str(tmp_path / "trie"))
-    probes = np.concatenate([keys, keys + np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)])
-    known = dict(zip(keys.tolist(), lm.quantise(counts).tolist()))
-    want = [known.get(x, 0) for x in probes.tolist()]
-    for t in (trie, trie.mapped(), lm.Trie.open(str(tmp_path / "trie"))):
-        assert t.lookup(probes).tolist() == want
-    assert lm.Trie(keys[:0], counts[:0]).mapped().lookup(keys).tolist() == [0] * len(keys)
+def distinct(columns):
+    return [np.array(c, np.uint64) for c in zip(*sorted(set(zip(*(c.tolist() for c in columns)))))]
 
 
-def test_quantised_counts():
-    c = np.arange(1, 200_000)
-    back = lm.dequantise(lm.quantise(c))
-    assert (back[:2047] == c[:2047]).all() and (np.abs(back / c - 1) < 0.006).all()
+@pytest.mark.parametrize("order", [2, 3])
+def test_trie_finds_all_and_nothing_else(tmp_path, order):
+    rng = np.random.default_rng(order)
+    columns = distinct([rng.integers(0, 60, 4000, dtype=np.uint64) for _ in range(order - 1)] + [rng.integers(0, 1 << 32, 4000, dtype=np.uint64) >> rng.integers(0, 30, 4000, dtype=np.uint64)])
+    counts = rng.integers(1, 50, len(columns[0]))
+    trie = lm.build_shard(columns, counts, 4.0, [])
+    trie.save(str(tmp_path / "trie"))
+    contexts = Counter()
+    for *c, n in zip(*(x.tolist() for x in columns[:-1]), counts.tolist()):
+        contexts[tuple(c)] += n
+    assert trie.levels[order - 2].n == len(contexts) == len(trie.backoff)  # real contexts, each once
+    assert trie.levels[0].n == len(set(columns[0].tolist())) and trie.levels[-1].n == len(counts)
+    probes = [np.concatenate([c, c + np.uint64(i == order - 1), rng.integers(0, 70, 500, dtype=np.uint64)]) for i, c in enumerate(columns)]
+    known = {g: n / (contexts[g[:-1]] + 4) for *g, n in zip(*(x.tolist() for x in columns), counts.tolist()) for g in [tuple(g)]}
+    want = [known.get(g, 0) for g in zip(*(p.tolist() for p in probes))]
+    for t in (trie, trie.mapped(), lm.Trie.open(str(tmp_path / "trie"))):
+        assert lm.dequantise(t.lookup(probes)) == pytest.approx(want, rel=1e-3)
+        _, context = t.find(columns)
+        weights = [4 / (contexts[g] + 4) for g in zip(*(c.tolist() for c in columns[:-1]))]
+        assert lm.dequantise(t.backoff[context]) == pytest.approx(weights, rel=1e-3)
+    empty = lm.build_shard([c[:0] for c in columns], counts[:0], 4.0, []).mapped()
+    assert empty.lookup(columns).tolist() == [0] * len(counts)
+    assert all(np.array_equal(a, b) for a, b in zip(lm.unpack_columns(lm.pack_columns(columns)), columns))
+
+
+def test_contexts_that_are_cut():
+    """Parts of a context give the probabilities of the whole, if its count travels along."""
+    columns = distinct([np.repeat(np.arange(3, dtype=np.uint64), 50), np.arange(150, dtype=np.uint64) % np.uint64(50)])
+    counts = np.arange(1, 151)
+    whole = lm.dequantise(lm.build_shard(columns, counts, 4.0, []).lookup(columns))
+    total = np.array([[0, 1, 2], [counts[:50].sum(), counts[50:100].sum(), counts[100:].sum()]])
+    for part in (0, 1):
+        mine = np.flatnonzero(columns[1] % np.uint64(2) == part)
+        cols = [c[mine] for c in columns]
+        assert np.array_equal(lm.dequantise(lm.build_shard(cols, counts[mine], 4.0, [total]).lookup(cols)), whole[mine])
+
+
+def test_hot_contexts(spark):
+    """One word is a third of all tokens, in many segments and buckets."""
+    rows = [(i, " ".join(f"the w{(i * j) % 97}" for j in range(30)) + " the the the") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    check(frame, score_texts(frame, F.col("doc_id") % 5 != 0), lambda d: d % 5 != 0)
+
+
+def test_model_sums_to_one():
+    rows = [(i, t) for i, t in enumerate(["a b a c a b", "b a b a", "c c b a b a b", "", "a b c a b a"])]
+    counts = counted(rows, lambda d: True)
+    words = [*counts[0], "new"]
+    for u in (None, *counts[0]):
+        for v in counts[0]:
+            if (v != 0 or u is None) and u != 0 or (u == 0 and v != 0):
+                assert sum(probability(*counts, u, v, w) for w in words) == pytest.approx(1)
+
+
+def test_quantised_probabilities():
+    p = 10.0 ** -np.linspace(0, 15, 5000)
+    assert lm.dequantise(lm.quantise(p)) == pytest.approx(p, rel=4e-4)
+    assert lm.quantise(np.zeros(2)).tolist() == [0, 0]
