@@ -39,6 +39,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,26 +162,33 @@ class Trie:
         """Places of n-grams on the last level, and of their contexts on the one above; -1 for
         those not there."""
         n = len(columns[0])
-        lo, hi = np.zeros(n, np.int64), np.full(n, self.levels[0].n, np.int64)
-        parent, context = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-        alive = np.arange(n)
+        new = _new(columns)  # what follows with the same prefix is looked for once
+        run, parent = np.zeros(n, np.int64), np.zeros(1, np.int64)
+        lo, hi = np.zeros(1, np.int64), np.full(1, self.levels[0].n, np.int64)
+        context = np.full(n, -1, np.int64)
         for j, c in enumerate(columns):
-            want = c[alive].astype(_U) + (parent.astype(_U) << _U(32))
-            i = self.levels[j].successor(want, lo, hi)
-            hit = np.flatnonzero(i < hi)
+            at = np.flatnonzero(new[j])
+            above = run[at]  # the prefix's place among those of the level above
+            alive = np.flatnonzero(parent[above] >= 0)
+            above = above[alive]
+            want = c[at[alive]].astype(_U) + (parent[above].astype(_U) << _U(32))
+            first, last = lo[above], hi[above]
+            i = self.levels[j].successor(want, first, last)
+            hit = np.flatnonzero(i < last)
             hit = hit[self.levels[j].get(i[hit]) == want[hit]]
-            alive, parent = alive[hit], i[hit]
+            parent = np.full(len(at), -1, np.int64)
+            parent[alive[hit]] = i[hit]
+            run = np.cumsum(new[j]) - 1
             if j < len(self.pointers):
-                lo, hi = (self.pointers[j].get(parent + d).astype(np.int64) for d in (0, 1))
+                there = np.maximum(parent, 0)
+                lo, hi = (self.pointers[j].get(np.minimum(there + d, self.pointers[j].n - 1)).astype(np.int64) for d in (0, 1))
             if j == len(columns) - 2:
-                context[alive] = parent
-        out = np.full(n, -1, np.int64)
-        out[alive] = parent
-        return out, context
+                context = parent[run]
+        return parent[run], context
 
     def lookup(self, columns: list[np.ndarray]) -> np.ndarray:
         """Codes of n-grams; 0 for those not there."""
-        if not len(self.codes) or not len(columns[0]):
+        if not len(self.codes) or not len(columns[0]):  # an empty level has no pointers
             return np.zeros(len(columns[0]), np.uint16)
         at, _ = self.find(columns)
         return np.where(at >= 0, self.codes[at], 0).astype(np.uint16)
@@ -226,6 +234,23 @@ class Trie:
             return cls._over(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each value among them. Faster than a sort of
+    all values where most are repeated, as words are."""
+    code, some = pd.factorize(values)
+    order = np.argsort(some)
+    rank = np.empty(len(some), np.int64)
+    rank[order] = np.arange(len(some))
+    return some[order], rank[code]
+
+
+def _first(place: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n values comes first."""
+    out = np.empty(n, np.int64)
+    out[place[::-1]] = np.arange(len(place))[::-1]
+    return out
+
+
 def _narrow(values: np.ndarray) -> bytes:
     """Non-negative integers in as few bytes each as the largest needs."""
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
@@ -323,7 +348,7 @@ class Segment:
         self.training = np.array(table.column("train").to_pylist(), bool)
         self.offsets = np.append(0, np.cumsum(self.count))
         self.train = np.repeat(self.training, self.count)
-        self.words, self.place = np.unique(np.concatenate(words), return_inverse=True)
+        self.words, self.place = _distinct(np.concatenate(words))
 
     def word_run(self) -> list[dict]:
         cuts = _segments.bucket_cuts(self.words, self.shape.buckets)
@@ -374,7 +399,8 @@ class Segment:
             _, rank = np.unique((columns[0][at].astype(_U) << _U(32)) | columns[1][at], return_inverse=True)
         else:
             rank = columns[0][at].astype(np.int64)
-        key, one, place = np.unique((rank.astype(_U) << _U(32)) | columns[-1][at], return_index=True, return_inverse=True)
+        key, place = np.unique((rank.astype(_U) << _U(32)) | columns[-1][at], return_inverse=True)
+        one = _first(place, len(key))
         bucket = self.shape.bucket(context[one], columns[-1][at[one]], total[one])
         order = np.argsort(bucket.astype(np.uint16 if self.shape.buckets <= 1 << 16 else np.int64), kind="stable")
         return kind, at, one, place, order, np.searchsorted(bucket[order], np.arange(self.shape.buckets + 1)), columns, total
@@ -437,7 +463,7 @@ def _send(kind: int, shape: Shape):
 def _answer_words(table: pa.Table) -> pa.Table:
     keys = [_segments.unpack_keys(x) for x in table.column("keys").to_pylist()]
     counts = np.concatenate([_unpack_counts(x, len(k)) for x, k in zip(table.column("counts").to_pylist(), keys)])
-    word, place = np.unique(np.concatenate(keys), return_inverse=True)
+    word, place = _distinct(np.concatenate(keys))
     total = np.bincount(place, counts, minlength=len(word)).astype(np.int64)
     at = np.append(0, np.cumsum([len(k) for k in keys]))
     out = []
@@ -478,7 +504,8 @@ def _answer(shape: Shape):
         rank = columns[0]
         if kind == 3:
             _, rank = np.unique((columns[0] << _U(32)) | columns[1], return_inverse=True)
-        _, one, place = np.unique((rank.astype(_U) << _U(32)) | columns[-1], return_index=True, return_inverse=True)
+        key, place = np.unique((rank.astype(_U) << _U(32)) | columns[-1], return_inverse=True)
+        one = _first(place, len(key))
         distinct = [c[one] for c in columns]
         total = np.bincount(place, counts, minlength=len(one)).astype(np.int64)
         trie = build_shard(distinct, total, shape.k2 if kind == 2 else shape.k3, cut).mapped()
