@@ -46,9 +46,9 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring import remove_repeats
+    from .substring import remove_in_batches
 
-    return remove_repeats(_table(spark, sf_dir, "documents"), width=13, digest=True)
+    return remove_in_batches(_table(spark, sf_dir, "documents"), width=13, digest=True)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,16 +3,20 @@
 Documents are cut into segments of ascending doc_id. A segment writes the fingerprints of
 all its windows as one sorted immutable run, cut into hash buckets. A bucket merge-joins its
 runs in the order of the segments, behind the runs that the index holds of earlier batches,
-and answers each run with one bit for each fingerprint: an earlier run has it. A hit counts
-only if a second, independently computed check value agrees as well, so a window is
-accepted on 80 bits. With the bits, a segment decides its windows in memory, together with
-repeats inside the segment. Merged runs can be kept as the index's next level
-(``FingerprintIndex``), which compacts runs as they pile up.
+and answers each run with one bit for each fingerprint: an earlier run has it. A hit is
+verified by a second value of 16 bits, from hashes of the words' bytes under another table,
+so a window is accepted on 80 bits of two independent hashes. With the bits, a segment decides its
+windows in memory, together with repeats inside the segment. ``FingerprintIndex`` keeps the
+runs of a batch, merged, as the index's next level, and compacts levels as they pile up.
+``remove_in_batches`` passes a table through an index in two batches.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,8 @@ from pyspark.sql import types as T
 
 from . import _segments, _spark, _text
 
+#: Share of the rows, those of the smallest ids, that are the history of the rest.
+HISTORY = 0.1
 RUN = "bucket int, seg int, keys binary, checks binary"
 
 
@@ -34,7 +40,7 @@ def _windows(texts: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray,
             w = _text.Words(chunk.slice(a, b - a))
             h = w.hashes()
             key, at = w.grams(h, width)
-            check = (_text.combine(_text.mix(h ^ np.uint64(0xC2B2AE3D27D4EB4F)), at, width) >> np.uint64(48)).astype(np.uint16)
+            check = (_text.combine(w.hashes(second=True), at, width) >> np.uint64(48)).astype(np.uint16)
             out.append((key, check, w.doc(at) + done, at + words))
             done, words = done + b - a, words + len(h)
     if not out:
@@ -175,7 +181,7 @@ def _prepared(docs: DataFrame, text: str, doc_id: str, keep: tuple[str, ...]) ->
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, text: str = "text", doc_id: str = "doc_id", digest: bool = False, index: "FingerprintIndex | None" = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, text: str = "text", doc_id: str = "doc_id", digest: bool = False, index: "FingerprintIndex | None" = None, keep: tuple[str, ...] = (), segments: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for every document: each word is removed that
     is covered by a window of ``width`` words whose word sequence also starts in a document
     with a smaller doc_id, or anywhere in the index's earlier batches.
@@ -191,13 +197,13 @@ def remove_repeats(docs: DataFrame, width: int = 13, text: str = "text", doc_id:
     spark = docs.sparkSession
     _spark.ship(spark)
     plain = _prepared(docs, text, doc_id, keep)
-    n = _segments.segment_count(docs, text)
+    n = segments or _segments.segment_count(docs, text)
     buckets = index.buckets if index else n
     # a text shuffle, used by both steps
     seg = plain.withColumn("seg", _segments.by_range(plain, "doc_id", n)).repartition(n, "seg")
     runs = seg.groupBy("seg").applyInArrow(_runs(width, buckets), RUN)
     if index:
-        runs = index.begin(runs)
+        runs = index.begin(runs, width)
     answers = runs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_merge, "seg int, bucket int, bits binary")
     last = "kept_sha256 string" if digest else "kept_text string"
     out = T.StructType([*T._parse_datatype_string(f"doc_id long, n_words long, n_removed long, {last}").fields, *(f for f in plain.schema if f.name == "kept_row")])
@@ -209,42 +215,102 @@ class FingerprintIndex:
 
     ``remove_repeats(batch, index=index)`` judges a batch against them, and ``commit()``
     makes the batch's own runs part of the index, merged into one run for each bucket. As
-    soon as there are more than ``most_runs`` levels, they are compacted into one. A run that
-    was not committed is ignored, so a batch that fails can simply be run again.
+    soon as there are more than ``most_runs`` levels, they are compacted into one. A batch that
+    was not committed is ignored, so one that fails can simply be run again.
+
+    The index is what its newest manifest file says: the levels, the number of buckets and the
+    width of windows. Opening a folder that has one goes on from there, in any process; other
+    settings than the manifest's are refused. A manifest is written under another name and then
+    renamed, which of two writers only one can do. Nothing is deleted while results of earlier
+    batches may still have to read it; ``vacuum()`` deletes what the manifest doesn't name.
     """
 
-    def __init__(self, spark, path: str, buckets: int = 64, most_runs: int = 4):
-        self.spark, self.path, self.buckets, self.most_runs = spark, path, buckets, most_runs
+    def __init__(self, spark, path: str, buckets: int | None = None, most_runs: int = 4):
+        self.spark, self.path, self.most_runs = spark, path.rstrip("/"), most_runs
+        self.buckets, self.width = buckets or 64, None
         self.levels: list[str] = []
-        self._new: str | None = None
+        self._new: DataFrame | None = None
+        self._batch = ""
         self._serial = 0
+        self._fs, self._root = self._file_system(self.path)
+        found = max((int(name[9:]) for name in self._names() if name.startswith("manifest-")), default=0)
+        if found:
+            stream = self._fs.open(self._at(f"manifest-{found}"))
+            try:
+                kept = json.loads(bytes(stream.readAllBytes()).decode())
+            finally:
+                stream.close()
+            if buckets not in (None, kept["buckets"]):
+                raise ValueError(f"the index under {path} has {kept['buckets']} buckets")
+            self._serial, self.levels, self.buckets, self.width = found, kept["levels"], kept["buckets"], kept["width"]
+
+    def _file_system(self, path: str):
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), root
+
+    def _at(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._root, name)
+
+    def _names(self) -> list[str]:
+        return [x.getPath().getName() for x in self._fs.listStatus(self._root)] if self._fs.exists(self._root) else []
 
     def _read(self, level: str) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(level)
-
-    def begin(self, runs: DataFrame) -> DataFrame:
-        self._serial += 1
-        self._new = f"{self.path}/batch-{self._serial}"
-        runs.write.mode("overwrite").parquet(self._new)
-        out = self._read(self._new)
+        return self.spark.read.schema(RUN).parquet(f"{self.path}/{level}")
+
+    def begin(self, runs: DataFrame, width: int) -> DataFrame:
+        """The batch's runs behind the index's. If the batch is to be committed, that must
+        happen before the next one begins."""
+        if self.width not in (None, width):
+            raise ValueError(f"the index under {self.path} holds windows of {self.width} words")
+        self.width, self._new, self._batch = width, runs, ""
+        out = runs
         for level in self.levels:
             out = out.union(self._read(level))
         return out
 
     def _merge_to(self, runs: DataFrame, name: str) -> str:
-        to = f"{self.path}/{name}"
-        runs.groupBy("bucket").applyInArrow(_compact, RUN).write.mode("overwrite").parquet(to)
-        return to
+        runs.groupBy("bucket").applyInArrow(_compact, RUN).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return name
 
     def commit(self) -> None:
-        if not self._new:
+        if self._new is None:
             raise ValueError("there is no batch to commit")
-        self.levels.append(self._merge_to(self._read(self._new), f"level-{self._serial}"))
-        self._new = None
-        if len(self.levels) > self.most_runs:
-            everything = self._read(self.levels[0])
-            for level in self.levels[1:]:
+        serial = self._serial + 1
+        mine = uuid.uuid4().hex[:8]  # folders of a batch that failed are nobody's
+        levels = [*self.levels, self._merge_to(self._new, f"level-{serial}-{mine}")]
+        if len(levels) > self.most_runs:
+            everything = self._read(levels[0])
+            for level in levels[1:]:
                 everything = everything.union(self._read(level))
-            old, self.levels = self.levels, [self._merge_to(everything, f"compacted-{self._serial}")]
-            for level in old:
-                _spark.drop_path(self.spark, level)
+            levels = [self._merge_to(everything, f"compacted-{serial}-{mine}")]
+        stream = self._fs.create(self._at(f"new-{mine}"))
+        try:
+            stream.write(bytearray(json.dumps({"levels": levels, "buckets": self.buckets, "width": self.width}).encode()))
+        finally:
+            stream.close()
+        if self._fs.exists(self._at(f"manifest-{serial}")) or not self._fs.rename(self._at(f"new-{mine}"), self._at(f"manifest-{serial}")):
+            raise RuntimeError(f"another writer has committed to the index under {self.path}")
+        self._serial, self.levels, self._new = serial, levels, None
+
+    def vacuum(self) -> None:
+        """Deletes what the newest manifest doesn't name. Results that were not read yet, of
+        batches before it, can't be read afterwards."""
+        for name in self._names():
+            if name not in (*self.levels, f"manifest-{self._serial}"):
+                self._fs.delete(self._at(name), True)
+
+
+def remove_in_batches(docs: DataFrame, width: int = 13, text: str = "text", doc_id: str = "doc_id", digest: bool = False, history: float = HISTORY) -> DataFrame:
+    """remove_repeats() of the whole table, passed through a fresh index in two batches: the
+    rows of about the ``history`` smallest ids, whose runs become the index's first level, and
+    the rest. The rows are the same as those of one batch."""
+    scratch = _spark.Scratch(docs.sparkSession)
+    key = F.col(doc_id).cast("long")
+    bound = docs.select(key.alias("id")).approxQuantile("id", [history], 0.01)
+    n = _segments.segment_count(docs, text)
+    index = FingerprintIndex(docs.sparkSession, f"{scratch.root}/index", buckets=n)
+    early = F.coalesce(key <= int(bound[0]), F.lit(False)) if bound else F.lit(False)
+    few = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(n * history))
+    first = remove_repeats(docs.where(early), width, text, doc_id, digest, index, segments=few)
+    index.commit()
+    return first.union(remove_repeats(docs.where(~early), width, text, doc_id, digest, index, segments=n))

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from lodestone.llm.substring import FingerprintIndex, remove_repeats
+import pytest
+
+from lodestone.llm.substring import FingerprintIndex, remove_in_batches, remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,3 +77,47 @@ def test_incremental_batches_equal_one(spark, docs, tmp_path):
         index.commit()
     assert len(index.levels) <= 2
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()], 13)
+
+
+def test_reopened_index_goes_on(spark, docs, tmp_path):
+    """A later process opens the folder, and knows all batches that were committed."""
+    path, got = f"file://{tmp_path}/index", {}
+    for lo in range(0, 200, 50):
+        index = FingerprintIndex(spark, path, buckets=8, most_runs=2)
+        batch = docs.where(f"doc_id >= {lo} and doc_id < {lo + 50}")
+        lost = remove_repeats(batch, digest=True, index=index)  # a batch that fails before its commit
+        assert lost.count() == batch.count()
+        got |= {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(batch, digest=True, index=index).collect()}
+        index.commit()
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()], 13)
+    late = remove_repeats(docs.where("doc_id >= 150").selectExpr("doc_id + 1000 AS doc_id", "text"), digest=True, index=FingerprintIndex(spark, path))
+    again = FingerprintIndex(spark, path)
+    assert (again.buckets, again.width) == (8, 13) and again.levels == index.levels
+    assert all(r.n_removed == r.n_words for r in late.collect() if r.n_words >= 13)
+    again.vacuum()
+    assert FingerprintIndex(spark, path).levels == index.levels and len(again._names()) == len(index.levels) + 1
+    with pytest.raises(ValueError):
+        FingerprintIndex(spark, path, buckets=9)
+    with pytest.raises(ValueError):
+        remove_repeats(docs, 5, index=FingerprintIndex(spark, path))
+    with pytest.raises(ValueError):
+        FingerprintIndex(spark, path).commit()
+
+
+def test_unread_results_outlive_compaction(spark, docs, tmp_path):
+    index = FingerprintIndex(spark, f"file://{tmp_path}", buckets=4, most_runs=1)
+    results = []
+    for lo in range(0, 200, 50):
+        results.append(remove_repeats(docs.where(f"doc_id >= {lo} and doc_id < {lo + 50}"), digest=True, index=index))
+        index.commit()
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for x in results for r in x.collect()}
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()], 13)
+
+
+def test_two_batches_equal_one(docs, odd, empty):
+    want = brute([(r.doc_id, r.text) for r in docs.collect()], 13)
+    for share in (0.1, 0.6, 1.0):
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_in_batches(docs, digest=True, history=share).collect()} == want
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.kept_sha256)
+    assert sorted(remove_in_batches(odd, digest=True, history=0.5).collect(), key=key) == sorted(remove_repeats(odd, digest=True).collect(), key=key)
+    assert remove_in_batches(empty, digest=True).collect() == []
