@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,7 @@ def ship(spark: SparkSession) -> None:
     if root.is_dir():
         to = os.path.join(tempfile.mkdtemp(prefix="lodestone-"), "lodestone_pkg.zip")
         with zipfile.ZipFile(to, "w") as z:
-            for p in root.rglob("*.py"):
+            for p in chain(root.rglob("*.py"), root.rglob("license_texts/*.txt")):
                 z.write(p, str(p.relative_to(root.parent)))
         sc.addPyFile(to)
     sc._lodestone_shipped = True
