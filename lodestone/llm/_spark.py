@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import math
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,11 +37,13 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or in a session without
-    one (tests, one machine) a temporary folder."""
+    one, if its master is local, a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark.sparkContext, "_lodestone_scratch", None)
         if not base:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = spark.sparkContext._lodestone_scratch = f"file://{tempfile.mkdtemp(prefix='lodestone-shared-')}"
             _made.append((spark, base))
     return base
