@@ -754,8 +754,10 @@ class Database:
 
 def _scratch_folder(spark: SparkSession) -> str:
     """A new folder that all executors share, gone when the program ends: in
-    spark.checkpoint.dir, or where that isn't set (one machine, tests) a temporary one."""
+    spark.checkpoint.dir, or where that isn't set and the master is local, a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share, or give the database a path")
     path = f"{shared}/lodestone-db-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='lodestone-db-')}"
     atexit.register(_delete, spark, path)
     return path
