@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import Functions, lit
+from ..functions import Functions, equal, lit
 
 Resolve = Callable[[str], Column]
 
@@ -62,7 +62,7 @@ def one(c: Column, value: Any) -> Column | None:
                 raise ValueError(f"unknown operator {op}; nested objects can't be compared")
             out = both(out, OPERATORS[op](c, operand))
         return out
-    return c == (lit(None) if value is None else value)  # = NULL is never true
+    return equal(c, value)  # = NULL is never true
 
 
 def compile_where(where: dict[str, Any], resolve: Resolve, entity: Callable[[str, Any], tuple[str, Any]] | None = None) -> Column | None:
@@ -106,7 +106,7 @@ class Operators:
 
     @staticmethod
     def eq(a: Any, b: Any) -> Column:
-        return lit(a) == lit(b)
+        return equal(lit(a), b)
 
     @staticmethod
     def ne(a: Any, b: Any) -> Column:

@@ -39,7 +39,7 @@ class State:
     version: int = 0
     next_change: int = 1
     tables: dict[str, TableState] = field(default_factory=dict)
-    #: Folders of changes, of which some may still have to be published.
+    #: Folders of this commit's changes, which may still have to be published.
     changes: list[str] = field(default_factory=list)
 
     def to_json(self) -> str:
@@ -128,9 +128,11 @@ class Store:
     def publish(self) -> None:
         """Makes committed changes visible to listeners. A crash between commit and this is
         mended by the next open."""
+        waiting = set(self.files.names("_pending")) if self.state.changes else set()
         for name in self.state.changes:
-            if self.files.exists(f"_pending/{name}"):
+            if name in waiting:
                 self.files.rename(f"_pending/{name}", f"_changes/{name}")
+        self.state.changes = []  # the next commit need not name them again
 
     # segments
 
@@ -206,8 +208,6 @@ class Store:
         gone = [x for (_, x), end in zip(starts, ends) if end <= before]
         for x in gone:
             self.files.delete(f"_changes/{x}")
-        if gone:
-            self.state.changes = [x for x in self.state.changes if x not in gone]
 
     def vacuum(self) -> int:
         """Deletes segments and staged data that the latest version doesn't name; returns how

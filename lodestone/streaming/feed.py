@@ -25,6 +25,9 @@ if TYPE_CHECKING:
 
 log = logging.getLogger("lodestone")
 
+#: Changes that the driver holds at a time; larger batches are handed over in such ranges.
+MOST_EVENTS = 10_000
+
 
 def stream(db: "Database") -> DataFrame:
     """All published changes: change_id, tbl, op, row_id."""
@@ -60,37 +63,43 @@ class ChangeFeed:
 
     def _dispatch(self, batch: DataFrame, _: int) -> None:
         wanted = {k for k, v in self.listeners.items() if v}
+        pairs = F.lit(False)
+        for table, op in wanted:
+            pairs = pairs | ((F.col("tbl") == table) & (F.col("op") == op))
         fresh = batch.filter(F.col("change_id") > self.seen)
-        top = fresh.agg(F.max("change_id")).first()[0]
+        mine = F.when(pairs, F.col("change_id"))
+        top, first, last = fresh.agg(F.max("change_id"), F.min(mine), F.max(mine)).first()
         if top is None:
             return
         with self._lock:
-            pairs = F.lit(False)
-            for table, op in wanted:
-                pairs = pairs | ((F.col("tbl") == table) & (F.col("op") == op))
-            mine = fresh.filter(pairs)
-            events: list[tuple[int, str, str, object]] = []
-            for table in {t for t, _ in wanted}:
-                key = self.db.key_of(table)
-                own = mine.filter(F.col("tbl") == table)
-                for r in own.filter("op = 'delete'").select("change_id", "row_id").toLocalIterator():
-                    events.append((r[0], table, "delete", {key: r[1]}))
-                alive = own.filter("op <> 'delete'")
-                if not alive.isEmpty():
-                    rows = self.db.frame(table)
-                    entities = {e.key: e for e in self.db.rows(rows.join(alive, rows[key] == F.col("row_id"), "left_semi"), table)}
-                    for r in alive.select("change_id", "op", "row_id").toLocalIterator():
-                        if r[2] in entities:
-                            events.append((r[0], table, r[1], entities[r[2]]))
-            for _, table, op, payload in sorted(events, key=lambda x: x[0]):
-                for callback in list(self.listeners.get((table, op), ())):
-                    try:
-                        callback(payload)
-                    except Exception:  # one listener's failure is not another's
-                        log.exception("a listener of %s %s failed", table, op)
-            self._count += len(events)
+            for begin in range(first, last + 1, MOST_EVENTS) if first is not None else ():
+                part = fresh.filter(pairs & F.col("change_id").between(begin, min(last, begin + MOST_EVENTS - 1)))
+                self._hand_over(part, {t for t, _ in wanted})
             self.seen = max(self.seen, top)
 
+    def _hand_over(self, part: DataFrame, tables: set[str]) -> None:
+        """Calls the listeners of at most MOST_EVENTS changes."""
+        events: list[tuple[int, str, str, object]] = []
+        for table in tables:
+            key = self.db.key_of(table)
+            own = part.filter(F.col("tbl") == table)
+            for r in own.filter("op = 'delete'").select("change_id", "row_id").collect():
+                events.append((r[0], table, "delete", {key: r[1]}))
+            alive = own.filter("op <> 'delete'")
+            if not alive.isEmpty():
+                rows = self.db.frame(table)
+                entities = {e.key: e for e in self.db.rows(rows.join(alive, rows[key] == F.col("row_id"), "left_semi"), table)}
+                for r in alive.select("change_id", "op", "row_id").collect():
+                    if r[2] in entities:
+                        events.append((r[0], table, r[1], entities[r[2]]))
+        for _, table, op, payload in sorted(events, key=lambda x: x[0]):
+            for callback in list(self.listeners.get((table, op), ())):
+                try:
+                    callback(payload)
+                except Exception:  # one listener's failure is not another's
+                    log.exception("a listener of %s %s failed", table, op)
+        self._count += len(events)
+
     def _writer(self):
         return stream(self.db).writeStream.foreachBatch(self._dispatch).option("checkpointLocation", self._checkpoint)
 

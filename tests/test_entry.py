@@ -3,6 +3,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -16,8 +18,9 @@ def test_oracles_are_registered():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_imports_without_the_optional_subpackage(tmp_path):
+@pytest.mark.parametrize("left_out", [("llm", "corpus_pipeline.py"), ("llm",)])
+def test_imports_without_the_optional_subpackage(tmp_path, left_out):
     to = tmp_path / "copy"
-    shutil.copytree(REPO, to, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(REPO, to, ignore=shutil.ignore_patterns(".git", "__pycache__", *left_out))
     code = "import __spark_entry__ as e; n = e.queries(); assert len(n) > 90 and not any(x.startswith('op') or x == 'pipeline' for x in n); e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=to, check=True, env={**os.environ, "PYTHONPATH": str(to)})
