@@ -9,6 +9,9 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import chain
 from pathlib import Path
 
@@ -18,6 +21,7 @@ from pyspark.sql import types as T
 
 _made: list[tuple[SparkSession, str]] = []
 _scratch: list["Scratch"] = []
+_owner: ContextVar[str] = ContextVar("owner", default="")
 
 
 def ship(spark: SparkSession) -> None:
@@ -67,13 +71,26 @@ def _clean() -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+@contextmanager
+def owned(name: str) -> Iterator[None]:
+    """Scratch tables written inside belong to the run ``name``, or to the run that is under
+    way already."""
+    before = _owner.get()
+    token = _owner.set(before or name)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
 def clean(unless_read_by: DataFrame | None = None) -> None:
-    """Deletes the scratch tables that operators have written so far, but for those that a
-    frame reads. Results that weren't stored yet can't be read afterwards."""
+    """Deletes the scratch tables that the run under way (``owned``; outside of any, all calls
+    outside) has written so far, but for those that a frame reads. Results of that run that
+    weren't stored yet can't be read afterwards; those of others can."""
     read = unless_read_by.inputFiles() if unless_read_by is not None else []
     for x in list(_scratch):
         name = x.root.rsplit("/", 1)[1]
-        if not any(name in f for f in read):
+        if x.owner == _owner.get() and not any(name in f for f in read):
             _scratch.remove(x)
             drop_path(x.spark, x.root)
 
@@ -84,6 +101,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+        self.owner = _owner.get()
         _scratch.append(self)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
@@ -117,10 +135,11 @@ def carried(df: DataFrame, keep: tuple[str, ...], results: str, **columns: Colum
 
 
 def stored_bytes(df: DataFrame, text: str = "text") -> float:
-    """About how many bytes of (compressed) storage the rows take; measured where the plan
-    does not know."""
-    size = float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size < 1e15:
+    """About how many bytes of (compressed) storage the rows take: the plan's estimate if it
+    reads one table, and measured otherwise, since estimates of joins multiply."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = float(plan.stats().sizeInBytes())
+    if plan.collectLeaves().size() == 1 and size < 1e15:
         return size
     return float(df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]) / 2
 

@@ -2,6 +2,9 @@ import re
 
 import corpus_pipeline
 import pytest
+from lodestone.llm import _spark
+from lodestone.llm.neardup import near_duplicates
+from pyspark.sql import functions as F
 from test_neardup import brute as near_groups
 from test_quality import brute as quality_counts
 
@@ -51,3 +54,19 @@ def test_odd_rows(spark, sf_dir, tmp_path, odd, empty, which):
     good, unique, cut, clean, packed = run(spark, frame, sf_dir, tmp_path)
     assert all(x.columns == frame.columns for x in (good, unique, cut, clean))
     assert packed.count() >= (0 if which == "empty" else 1)
+
+
+def test_a_run_leaves_the_tables_of_others(spark, docs):
+    before = near_duplicates(docs, shingle=2, percent=80)  # not read yet
+    with _spark.owned("another run"):
+        mine = _spark.Scratch(spark)
+        mine.put(docs.limit(1), "x")
+        _spark.clean(docs)
+        assert mine not in _spark._scratch
+    assert before.count() == docs.count()
+
+
+def test_sizes_of_joins_are_measured(spark, sf_dir, docs):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
+    texts = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert _spark.stored_bytes(docs.join(labels, "doc_id")) <= texts
