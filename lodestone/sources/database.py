@@ -29,6 +29,9 @@ from .storage import Files, State, Store, TableState
 
 log = logging.getLogger("lodestone")
 
+#: Up to so many new rows are sent to the tables that they are checked against.
+FEW = 100_000
+
 
 class ConstraintError(ValueError):
     """A foreign key or unique constraint would be broken."""
@@ -381,9 +384,10 @@ class Database:
     # constraints
 
     def _local(self, spec: TableSpec, rows: list[dict[str, Any]]) -> DataFrame:
-        """A DataFrame of driver rows in the stored form."""
+        """A DataFrame of driver rows in the stored form; few of them in one partition."""
         stored = [tuple(spec.fields[c].store(r.get(c)) if c in spec.fields else r.get(c) for c in spec.columns) for r in rows]
-        return self._typed(spec, self.spark.createDataFrame(stored, spec.local_schema).coalesce(1))
+        local = self.spark.createDataFrame(stored, spec.local_schema)
+        return self._typed(spec, local.coalesce(1) if len(rows) <= FEW else local)
 
     @staticmethod
     def _typed(spec: TableSpec, df: DataFrame) -> DataFrame:
@@ -398,18 +402,24 @@ class Database:
                 out.append(F.col(f.name).cast(f.dataType).alias(f.name))
         return df.select(*out)
 
-    def _check(self, spec: TableSpec, new: DataFrame, old: DataFrame, columns: Iterable[str] | None = None) -> None:
-        """Raises if ``new`` rows break a unique or foreign key, among themselves or with
-        ``old``. Nulls are distinct and refer to nothing."""
+    @staticmethod
+    def _shared(names: Iterable[str], new: DataFrame, n: int, old: DataFrame) -> DataFrame:
+        """The values of ``names`` that the ``n`` rows of ``new`` and ``old`` have in common. Few
+        new rows are sent to the old ones, which may be any number and stay where they are."""
+        new, old = new.select(*names).alias("n"), old.select(*names).alias("o")
+        same = [F.col(f"n.{c}") == F.col(f"o.{c}") for c in names]
+        return old.join(F.broadcast(new), same, "left_semi") if n <= FEW else new.join(old, same, "left_semi")
+
+    def _check(self, spec: TableSpec, new: DataFrame, n: int, old: DataFrame, columns: Iterable[str] | None = None) -> None:
+        """Raises if the ``n`` rows of ``new`` break a unique or foreign key, among themselves or
+        with ``old``. Nulls are distinct and refer to nothing."""
         touched = set(columns) if columns is not None else None
         for names in spec.unique:
             if touched is not None and not touched & set(names):
                 continue
             known = new.where(_all_known(names))
             twice = known.groupBy(*names).count().where("count > 1").drop("count")
-            same = [new_c == old_c for new_c, old_c in ((F.col(f"n.{c}"), F.col(f"o.{c}")) for c in names)]
-            clash = known.alias("n").join(old.alias("o"), same, "left_semi").select(*names)
-            if found := twice.unionByName(clash).limit(1).collect():
+            if found := twice.unionByName(self._shared(names, known, n, old)).limit(1).collect():
                 raise ConstraintError(f"{spec.name}: {', '.join(names)} must be unique; {tuple(found[0])} is not")
         for child, fk, parent in self.relations:
             if child != spec.name or touched is not None and fk not in touched:
@@ -417,7 +427,12 @@ class Database:
             parents = self.frame(parent).select(F.col(self.key_of(parent)).alias("_parent"))
             if parent == child:
                 parents = parents.union(new.select(self.key_of(parent)))
-            orphan = new.where(F.col(fk).isNotNull()).join(parents, F.col(fk) == F.col("_parent"), "left_anti").select(fk)
+            asked = new.where(F.col(fk).isNotNull()).select(fk)
+            if n <= FEW:
+                there = parents.join(F.broadcast(asked), F.col("_parent") == F.col(fk), "left_semi").select(F.col("_parent").cast(asked.schema[fk].dataType), F.lit(True))
+                orphan = asked.withColumn("_there", F.lit(False)).union(there).groupBy(fk).agg(F.bool_or("_there").alias("_there")).where("not _there")
+            else:
+                orphan = asked.join(parents, F.col(fk) == F.col("_parent"), "left_anti")
             if found := orphan.limit(1).collect():
                 raise ConstraintError(f"{spec.name}: {fk} {found[0][0]} is in no row of {parent}")
 
@@ -446,7 +461,7 @@ class Database:
                 keys = [r[spec.key] for r in ready]
                 if len(set(keys)) < len(keys) or self.frame(table).where(F.col(spec.key).isin(keys)).limit(1).count():
                     raise ConstraintError(f"{table}: {spec.key} must be unique")
-            self._check(spec, new, self.frame(table))
+            self._check(spec, new, len(ready), self.frame(table))
             mine.segments = [*mine.segments, self.store.write(new, table, spec.indexes)]
             if self.reactive:
                 self.store.log_rows(self._pending, [(table, "insert", r[spec.key]) for r in ready])
@@ -499,9 +514,9 @@ class Database:
                 raise ValidationError(f"{table}: a row does not fit the schema: {bad[0].asDict()}")
             old = self.frame(table)
             keys = rows.groupBy(spec.key).count().where("count > 1").select(spec.key) if spec.key in df.columns else None
-            if keys is not None and not keys.unionByName(rows.select(spec.key).join(old.select(spec.key), spec.key, "left_semi")).isEmpty():
+            if keys is not None and not keys.unionByName(self._shared([spec.key], rows, n, old)).isEmpty():
                 raise ConstraintError(f"{table}: {spec.key} must be unique")
-            self._check(spec, rows, old)
+            self._check(spec, rows, n, old)
             segment = self.store.write(rows.select(*spec.columns), table, spec.indexes)
             mine.segments = [*mine.segments, segment]
             written = self.store.read([segment], spec.schema)
@@ -549,7 +564,7 @@ class Database:
             if change and columns:
                 rest = [s for s in mine.segments if s not in hit]
                 old = self.store.read(rest, spec.schema).select(*spec.columns).unionByName(after.where("not _is").select(*spec.columns))
-                self._check(spec, after.where("_is").select(*spec.columns), old, columns)
+                self._check(spec, after.where("_is").select(*spec.columns), total, old, columns)
             ids = after.where("_is") if change else marked.where("_is")
             self._changes(table, op, ids)
             mine.segments = [*(s for s in mine.segments if s not in hit), segment]
@@ -625,7 +640,7 @@ class Database:
                     segment = self.store.write(changed.select(*spec.columns, "_is"), table, spec.indexes)
                     after = self.spark.read.schema(T.StructType([*spec.schema, T.StructField("_is", T.BooleanType())])).parquet(f"{self.store.root}/{segment}")
                     old = self.store.read([s for s in mine.segments if s not in hit], spec.schema).unionByName(after.where("not _is").drop("_is"))
-                    self._check(spec, after.where("_is").drop("_is"), old, sets)
+                    self._check(spec, after.where("_is").drop("_is"), updated, old, sets)
                     self._changes(table, "update", after.where("_is"))
                     mine.segments = [*(s for s in mine.segments if s not in hit), segment]
             return updated, inserted

@@ -1,10 +1,12 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone import ConcurrentCommit, ConstraintError, Database, NoRowFound, TableSpec, ValidationError
 from lodestone import schema as s
+from lodestone.sources import database
 
 
 def users(**more):
@@ -184,6 +186,58 @@ def test_soft_deletes_timestamps_hooks(spark):
     assert calls == [("in", "A"), ("in", "B"), ("up", 1), ("del", 1), ("del", 1)]
 
 
+def test_checks_send_new_rows_to_the_table(spark, monkeypatch):
+    """Not the table to the rows, whatever its size."""
+    posts = TableSpec("posts", {"title": s.string(), "user_id": s.integer()})
+    db = Database(spark, [users(unique=(("email",),)), posts], relations={"posts": {"user_id": "users"}})
+    db.users.insert_from(spark.range(2000).selectExpr("concat('u', id) AS name", "concat(id, '@x.org') AS email"))
+    frame, sent = type(spark.range(1)), []
+    collect, mode = frame.collect, spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+
+    def watched(df):
+        found = collect(df)
+        sent.extend(float(x) for x in re.findall(r"BroadcastQueryStage .*rowCount=([\d.E+]+)", df._jdf.queryExecution().explainString(mode)))
+        return found
+
+    monkeypatch.setattr(frame, "collect", watched)
+    db.users.insert({"name": "N", "email": "n@x.org"})
+    db.posts.insert({"title": "t", "user_id": 7})
+    with pytest.raises(ConstraintError, match="'7@x.org'"):
+        db.users.insert({"name": "N", "email": "7@x.org"})
+    with pytest.raises(ConstraintError, match="9999 is in no row of users"):
+        db.posts.insert({"title": "t", "user_id": 9999})
+    with pytest.raises(ConstraintError, match="'7@x.org'"):
+        db.users.insert_from(spark.sql("SELECT 'N' AS name, '7@x.org' AS email"))
+    with pytest.raises(ConstraintError, match="'7@x.org'"):
+        db.users.update(1, {"email": "7@x.org"})
+    assert sent and max(sent) <= 2
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_checks_of_few_and_many_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(database, "FEW", few)
+    spec = TableSpec("parts", {"a": s.string(), "b": s.string().optional(), "whole": s.integer().optional()}, unique=(("a", "b"),))
+    db = Database(spark, [spec], relations={"parts": {"whole": "parts"}})
+    db.parts.insert_many([{"a": "x", "b": "1"}, {"a": "x"}, {"a": "x"}, {"a": "y", "b": "1", "whole": 5}, {"a": "z", "b": "1", "whole": 1}])
+    for rows, says in (
+        ([{"a": "n", "b": "1"}, {"a": "x", "b": "1"}], "'x', '1'"),
+        ([{"a": "n", "b": "1"}, {"a": "n", "b": "1"}], "'n', '1'"),
+        ([{"a": "n", "b": "1", "whole": 1}, {"a": "n", "b": "2", "whole": 99}], "whole 99 is in no row of parts"),
+    ):
+        with pytest.raises(ConstraintError, match=says):
+            db.parts.insert_many(rows)
+        with pytest.raises(ConstraintError, match=says):
+            db.parts.insert_from(spark.createDataFrame([(r["a"], r["b"], r.get("whole")) for r in rows], "a string, b string, whole long"))
+    with pytest.raises(ConstraintError, match="id must be unique"):
+        db.parts.insert_from(spark.sql("SELECT 2L AS id, 'n' AS a"))
+    with pytest.raises(ConstraintError, match="whole 99 is in no row of parts"):
+        db.parts.select().where({"a": "y"}).update_all({"whole": 99})
+    with pytest.raises(ConstraintError, match="'x', '1'"):
+        db.parts.select().where({"a": "x"}).update_all({"b": "1"})
+    db.parts.insert_from(spark.sql("SELECT 'x' AS a, CAST(NULL AS STRING) AS b, 4L AS whole"))
+    assert db.parts.count() == 6 and db.parts.select().where({"a": "y"}).pluck("whole") == [5]
+
+
 def test_cascade(spark):
     specs = [TableSpec("authors", {"name": s.string()}), TableSpec("books", {"title": s.string(), "author_id": s.integer()})]
     db = Database(spark, specs, relations={"books": {"author_id": "authors"}}, cascade={"authors": ["books"]})
